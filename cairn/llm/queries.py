@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, simhash
+from cairn.llm import chat, media, packing, simhash
 from cairn.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
     return out.select(
@@ -23,9 +34,33 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("packets="), "packets"),
+        F.concat(F.lit("units="), F.size("times")),
+        F.concat(F.lit("points="), F.array_join("points", ",")),
+        F.concat(F.lit("last_pts="), F.element_at("times", -1)),
+        F.concat(F.lit("errors="), "errors"),
+    )
+    return read.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        feature.alias("feature"),
+    )
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_media_columns": op8_media_columns,
 }
 
 ORACLE_SQL = {"op3_chat_format": chat.SQL}
