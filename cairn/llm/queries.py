@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, media, packing, simhash
+from cairn.llm import chat, language, media, packing, quality, simhash
 from cairn.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language.identify(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_control_case(spark, table(spark, sf_dir, "conversations"))
     return chat.digests(chat.format_conversations(turns))
@@ -34,6 +39,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select(
+        F.col("id").alias("doc_id"), language.held_out(F.col("id"), 3, 1).alias("held_out"), "score", "predicted"
+    )
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_media(media.write_media(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(
@@ -57,9 +70,11 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_media_columns": op8_media_columns,
 }
 
