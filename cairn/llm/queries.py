@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, language, media, packing, quality, simhash
+from cairn.llm import chat, language, media, packing, pii, quality, simhash, topk
 from cairn.llm.common import table
 
 
@@ -69,6 +69,16 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.find(docs, pii.fit(docs)))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.nearest(rows, rows.where("vec_id % 20 = 0"), k=10)
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
@@ -76,6 +86,8 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_media_columns": op8_media_columns,
+    "op9_pii": op9_pii,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL = {"op3_chat_format": chat.SQL}
+ORACLE_SQL = {"op3_chat_format": chat.SQL, "op10_exact_top_k": topk.SQL}
