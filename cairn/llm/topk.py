@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,17 @@ def sign_code(vec: Column) -> Column:
     return F.when(F.size(vec) > 0, code)
 
 
-def masks(width: int, radius: int) -> list[int]:
-    return [m for m in range(1 << width) if m.bit_count() == radius]
+def reach(width: int, radii: list[int]) -> Column:
+    """All differences of ``width`` bits that are exactly so large."""
+    return F.lit([m for m in range(1 << width) if m.bit_count() in radii]).cast("array<int>")
+
+
+def segment_cuts(n: int) -> list[tuple[int, int]]:
+    """(offset, width) of each segment: about log2(n) bits, so that a key has about one entry."""
+    width = min(16, max(4, round(math.log2(max(2, n)))))
+    m = -(-BITS // width)
+    at = [BITS * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
 def steps(segments: int, width: int) -> Iterator[tuple[list[int], list[int], int]]:
@@ -55,7 +65,6 @@ def nearest(
     k: int = 10,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    segments: int = 4,
 ) -> DataFrame:
     """The k rows nearest to each query by Hamming distance of their codes, never the query itself.
 
@@ -66,7 +75,6 @@ def nearest(
     repeated rows count once; a query with fewer than k other rows gets those; an empty table gives
     no row. Other columns are ignored.
     """
-    width = BITS // segments
     coded = materialize(_coded(rows, id_col, vec_col), "codes")
     by_code = W.partitionBy("code").orderBy("id")
     index = materialize(
@@ -77,7 +85,9 @@ def nearest(
         "index",
     )
     asked = materialize(_coded(queries, id_col, vec_col), "queries")
-    part = lambda j: F.shiftrightunsigned("code", j * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    cuts = segment_cuts(index.count())
+    segments, widest = len(cuts), max(w for _, w in cuts)
+    part = lambda j: F.shiftrightunsigned("code", cuts[j][0]).bitwiseAND(F.lit((1 << cuts[j][1]) - 1)).cast("int")
     entries = index.select(
         "code",
         F.size("ids").alias("n"),
@@ -86,15 +96,21 @@ def nearest(
     )
     active = asked.select("code").distinct().withColumn("bound", F.lit(BITS))
     found = None
-    for radii, segs, covered in steps(segments, width):
-        reach = [m for a in radii for m in masks(width, a)]
+    for radii, segs, covered in steps(segments, widest):
         probes = (
             active.select(
                 F.col("code").alias("q"),
                 "bound",
-                F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), part(j).alias("own")) for j in segs])).alias("s"),
+                F.explode(
+                    F.array(
+                        *[
+                            F.struct(F.lit(j).alias("seg"), part(j).alias("own"), reach(cuts[j][1], radii).alias("reach"))
+                            for j in segs
+                        ]
+                    )
+                ).alias("s"),
             )
-            .select("q", "bound", F.col("s.seg").alias("seg"), "s.own", F.explode(F.lit(reach)).alias("mask"))
+            .select("q", "bound", "s.seg", "s.own", F.explode("s.reach").alias("mask"))
             .select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
         )
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
