@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, language, media, packing, pii, quality, simhash, topk
+from cairn.llm import chat, language, media, packing, pieces, pii, quality, simhash, topk
 from cairn.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), path)
+    return pieces.digest(encoded, path).withColumnRenamed("id", "doc_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.identify(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
@@ -19,12 +31,6 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
     return packed.withColumnRenamed("id", "doc_id")
@@ -80,6 +86,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
