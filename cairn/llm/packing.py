@@ -2,89 +2,81 @@
 
 from __future__ import annotations
 
-import array
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 600_000
-#: Texts tokenized together.
-TEXTS = 64
-#: ASCII upper case to lower case and line feeds to spaces: neither changes an id.
-FOLD = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-TAIL = b".,!*&%$#|;:"
+from cairn.llm.chunks import ChunkTokenizer, runs
 
+#: A chunk that is one word and perhaps some punctuation: Latin letters only, so that it is known to
+#: be composed and one word to the tokenizer too.
+WORD = re.compile("([a-zß-öø-ɏ]+)([.,!*&%$#|;:]*)")
 
-class WordTokenizer:
-    """Ids of a word-end BPE tokenizer that drops white space, remembered word by word.
 
-    A chunk between spaces is tokenized alone, so each distinct one is tokenized once. Chunks that
-    are plain Latin letters, but for punctuation at the end, are encoded many to a call and told
-    apart by the end-of-word ids.
+class WordTokenizer(ChunkTokenizer):
+    """Ids of a word-end BPE tokenizer that lower-cases and drops white space.
+
+    Chunks between ASCII white space are tokenized alone, each distinct one once. Arrow lower-cases,
+    splits and numbers them; words are encoded many to a call and told apart by the end-of-word ids.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # each word comes once
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {b"": b""}
 
-    def _one_by_one(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self.known[w] = array.array("I", e.ids).tobytes()
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for w, ids in zip(words, self._encode(words)):
+            self.known[w] = ids.tobytes()
 
-    def _letters(self, words: list[bytes]) -> None:
+    def _words(self, words: list[str]) -> None:
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
-            ids = np.array(
-                self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32
-            )
+            ids = self._encode([" ".join(part)])[0]
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) != len(part):
                 self._one_by_one(part)
                 continue
-            all_bytes, at = ids.tobytes(), 0
+            raw, at = ids.tobytes(), 0
             for w, e in zip(part, ends.tolist()):
-                self.known[w] = all_bytes[at:e]
+                self.known[w] = raw[at:e]
                 at = e
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known = {b"": b""}
-        bare, odd, split = set(), set(), []
-        for w in words:
-            body = w.rstrip(TAIL)
-            text = body.decode()
-            if text.isalpha() and max(text) < "ɐ":
-                if body != w:
-                    split.append((w, body, w[len(body) :]))
-                bare.add(body)
+    def learn(self, chunks: list[str]) -> None:
+        known, bare, odd, parted = self.known, set(), set(), []
+        for c in chunks:
+            if m := WORD.fullmatch(c):
+                body, tail = m.groups()
+                if body not in known:
+                    bare.add(body)
+                if tail:
+                    parted.append((c, body, tail))
+                    if tail not in known:
+                        odd.add(tail)
             else:
-                odd.add(w)
-        odd.update(t for _, _, t in split)
-        self._letters([w for w in bare if w not in self.known])
-        self._one_by_one([w for w in odd if w not in self.known])
-        for w, body, tail in split:
-            self.known[w] = self.known[body] + self.known[tail]
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [t.translate(FOLD).split(b" ") for t in texts]
-        missing = set().union(*words).difference(self.known)
-        if missing:
-            self._learn(missing)
-            if not all(map(self.known.__contains__, set().union(*words))):
-                self._learn(set().union(*words).difference(self.known))
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in words]
+                odd.add(c)
+        self._words(list(bare))
+        self._one_by_one(list(odd))
+        for c, body, tail in parted:
+            known[c] = known[body] + known[tail]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -198,11 +190,11 @@ def pack(
 
         for batch in batches:
             id_type, ids = batch.schema.field(0).type, batch.column(0)
-            texts = batch.column(1).cast(pa.large_binary())
-            for i in range(0, batch.num_rows, TEXTS):
-                part = [t.as_py() or b"" for t in texts[i : i + TEXTS]]
-                for doc, raw in zip(ids[i : i + TEXTS].to_pylist(), tok.ids(part)):
-                    raw += b"\0\0\0\0"
+            texts = batch.column(1).cast(pa.large_string())
+            sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+            for i, z in runs(sizes):
+                for doc, own_ids in zip(ids[i:z].to_pylist(), tok.ids(texts[i:z])):
+                    raw = own_ids.tobytes() + b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[at : at + 4 * capacity]
                         held.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
