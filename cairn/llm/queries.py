@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, language, media, packing, pieces, pii, quality, simhash, topk
+from cairn.llm import chat, language, media, packing, pieces, pii, quality, simhash, suffix, topk
 from cairn.llm.common import table
 
 
@@ -53,6 +53,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_media(media.write_media(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(
@@ -92,6 +99,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_pii": op9_pii,
     "op10_exact_top_k": op10_exact_top_k,
