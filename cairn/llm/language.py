@@ -137,8 +137,10 @@ def log_likelihoods(model: Model, texts: list[str]) -> np.ndarray:
     return out + model.log_prior
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``(id, lang_pred, score)`` per row, with the columns ``keep`` carried through.
+def predict(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False
+) -> DataFrame:
+    """``(id, lang_pred, score)`` per row; with ``keep_row`` also ``row``, all columns as a struct.
 
     ``score`` is the posterior probability of the language named; of equal ones the first by name.
     Text that is null or has no letter, and any text where no language was learned, is ``und``
@@ -161,15 +163,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             [*batch.columns[1:], pa.array(lang), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"]
         )
 
-    picked = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("id"), *keep)
+    row = [F.struct(*docs.columns).alias("row")] * keep_row
+    picked = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *row)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
     return map_batches(picked, one, f"{kinds}, lang_pred string, score double")
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_row: bool = False
 ) -> DataFrame:
     """Learn from the rows that are not held out and predict all; adds ``held_out``."""
     allowed = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), 4, 2))
     model = fit(sampled(allowed, id_col, SAMPLE_ROWS), text_col, lang_col)
-    return predict(docs, model, id_col, text_col, keep).withColumn("held_out", held_out(F.col("id"), 4, 2))
+    return predict(docs, model, id_col, text_col, keep_row).withColumn("held_out", held_out(F.col("id"), 4, 2))

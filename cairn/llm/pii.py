@@ -230,20 +230,21 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``pii_base`` and ``pii_spans``, arrays of (start, rank, stop).
+    """``(row, text, base, spans)``: all columns as a struct, and two arrays of (start, rank, stop).
 
     ``rank`` is a place in ``KINDS``; places count code points, ``stop`` is exclusive. Base spans
     stay whatever the classifier says. Null text counts as empty and has no span.
     """
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = described(located(rows, PATTERNS))
     rank = F.lit(KINDS.index("secret"))
     more = F.transform(
         F.filter("candidates", lambda c: model.log_odds(c) > 0),
         lambda c: F.struct(c["start"].alias("start"), rank.alias("rank"), c["stop"].alias("stop")),
     )
-    rows = rows.withColumns({"pii_base": F.sort_array(F.concat(*[spans(k) for k in PATTERNS])), "__more": more.cast(SPAN)})
-    return rows.select(*docs.columns, "pii_base", F.sort_array(F.concat("pii_base", "__more")).alias("pii_spans"))
+    base = F.sort_array(F.concat(*[spans(k) for k in PATTERNS]))
+    rows = rows.select("row", F.col("__text").alias("text"), base.alias("base"), more.cast(SPAN).alias("more"))
+    return rows.select("row", "text", "base", F.sort_array(F.concat("base", "more")).alias("spans"))
 
 
 def listed(col: str) -> Column:
@@ -255,35 +256,34 @@ def listed(col: str) -> Column:
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts by kind, the digest of base spans, and all spans as text."""
-    count = lambda k: F.size(F.filter("pii_base", lambda s: s["rank"] == KINDS.index(k))).cast("bigint")
+    count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("bigint")
     return found.select(
-        F.col(id_col),
+        F.col("row")[id_col].alias(id_col),
         *[count(k).alias(f"n_{k}") for k in PATTERNS],
-        F.sha2(listed("pii_base"), 256).alias("base_sha256"),
-        listed("pii_spans").alias("spans"),
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
     )
 
 
-def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each span's text replaced by ``<kind>``; overlapping spans are merged under the first one's kind."""
-    names = F.array(*map(F.lit, KINDS))
-    text = F.col(text_col)
+def redacted() -> Column:
+    """The text of a row of ``find`` with ``<kind>`` for each span's; overlapping spans are merged
+    under the first one's kind."""
+    names, text = F.array(*map(F.lit, KINDS)), F.col("text")
 
     def step(a: Column, s: Column) -> Column:
         inside = s["start"] < a["at"]
         kept = F.substring(text, a["at"] + 1, s["start"] - a["at"])
+        mark = F.concat(F.lit("<"), F.get(names, s["rank"]), F.lit(">"))
         return F.struct(
             F.greatest(a["at"], s["stop"]).alias("at"),
-            F.when(inside, a["out"])
-            .otherwise(F.concat(a["out"], F.array(kept, F.concat(F.lit("<"), F.get(names, s["rank"]), F.lit(">")))))
-            .alias("out"),
+            F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(kept, mark))).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     joined = F.aggregate(
-        "pii_spans",
+        "spans",
         start,
         step,
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    return found.withColumn(text_col, F.when(F.size("pii_spans") > 0, joined).otherwise(text))
+    return F.when(F.size("spans") > 0, joined).otherwise(text)

@@ -358,9 +358,10 @@ def text_key(text: Column) -> Column:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: list[str] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_row: bool = False
 ) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, kept)`` per row, and the columns ``keep``.
+    """``(id, n_bytes, n_removed, n_spans, kept)`` per row; ``keep_row`` adds ``row``, all columns as
+    a struct, and makes ``kept`` a string, without the characters that lost a byte.
 
     Each byte is removed that a string of ``length`` bytes covers which also begins anywhere else,
     in the same text or another row's; ``kept`` is the rest. Null text counts as empty. A text
@@ -371,10 +372,14 @@ def remove_repeats(
     found, used = repeated(docs, text_col, length)
     for df in used:
         release(df)
+    row = [F.struct(*docs.columns).alias("row")] * keep_row
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *keep
-    ).withColumn("key", text_key(F.col("__text")))
-    joined = rows.join(found, "key", "left").select("__text", "places", "id", *keep)
+        text_key(F.col(text_col)).alias("key"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.col(id_col).alias("id"),
+        *row,
+    )
+    joined = rows.join(found, "key", "left").select("text", "places", "id", *(["row"] * keep_row))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, removed, spans, kept = [], [], [], []
@@ -393,9 +398,10 @@ def remove_repeats(
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
-        cols = [*(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.binary())]
+        rest = pa.array([t.decode("utf-8", "ignore") for t in kept]) if keep_row else pa.array(kept, pa.binary())
+        cols = [*(pa.array(x, pa.int64()) for x in (size, removed, spans)), rest]
         names = ["n_bytes", "n_removed", "n_spans", "kept"]
         return pa.RecordBatch.from_arrays([*batch.columns[2:], *cols], [*batch.schema.names[2:], *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[2:])
-    return map_batches(joined, one, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return map_batches(joined, one, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {"string" if keep_row else "binary"}")

@@ -2,14 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-STAGES: list = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import language, packing, pii, simhash, suffix
+from cairn.llm.common import shared_dir
+from cairn.llm.queries import tokenizer_path
+
+#: A document whose language is less likely than this is rejected.
+LEAST_SCORE = 0.5
+#: Words of a shingle and differing bits of a link. Over five-word shingles, 6 of 64 bits stand for a
+#: similarity of about 0.9; fewer shared shingles than that are found less often, and from 0.8 down
+#: hardly ever.
+WORDS, DISTANCE = 5, 6
+CAPACITY = 2048
+
+
+def with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of ``row`` with another text, and its number of characters."""
+    made = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
+    return rows.select(*[made.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those of no likely language."""
+    found = language.identify(docs, keep_row=True)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays; rows without an id all stay."""
+    groups = simhash.near_duplicates(docs, words=WORDS, distance=DISTANCE)
+    stay = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; every document stays, perhaps with an empty text."""
+    return with_text(suffix.remove_repeats(docs, keep_row=True), docs.columns, F.col("kept"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts ``<kind>`` in the place of each span of personal data."""
+    return with_text(pii.find(docs, pii.fit(docs)), docs.columns, pii.redacted())
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    packed = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=CAPACITY)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", drop_repeats),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL expresses neither the language model nor the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Between stages the documents are written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs
