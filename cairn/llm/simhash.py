@@ -69,18 +69,18 @@ def cuts(width: int, parts: int) -> list[tuple[int, int]]:
 
 
 def block_keys(fps: DataFrame, distance: int, agree: int) -> DataFrame:
-    """``(combo, key, fp)``: each choice of ``agree`` of ``distance + agree`` blocks.
+    """``(combo, key, fp)``: each choice of ``agree`` of ``distance + agree`` blocks, as a bit mask.
 
     Two fingerprints that differ in at most ``distance`` bits have that many blocks in common, so
     they share a key for at least one choice.
     """
     blocks = cuts(64, distance + agree)
     keys = []
-    for i, chosen in enumerate(combinations(blocks, agree)):
+    for chosen in combinations(range(len(blocks)), agree):
         key, used = F.lit(0).cast("bigint"), 0
-        for at, n in chosen:
+        for at, n in (blocks[i] for i in chosen):
             key, used = key.bitwiseOR(F.shiftleft(bits(F.col("fp"), at, n), used)), used + n
-        keys.append(F.struct(F.lit(i).alias("combo"), key.alias("key")))
+        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("combo"), key.alias("key")))
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.combo", "k.key", "fp")
 
 
@@ -88,21 +88,30 @@ def links(fps: DataFrame, distance: int = 3, agree: int = 3) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of distinct ``fps(fp)`` at ``distance`` bits or fewer.
 
     A key held by one fingerprint alone is dropped before the join; that count is combined before
-    its shuffle. The join's condition verifies the distance, so only links leave it.
+    its shuffle. The join's condition verifies the distance, and that the key is of the first blocks
+    the pair has in common, so each link leaves it once and nothing else does.
     """
     keys = block_keys(fps, distance, agree)
     shared = keys.groupBy("combo", "key").count().where("count > 1").select("combo", "key")
     held = keys.join(shared, ["combo", "key"])
     a, b = held.alias("a"), held.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    near = F.bit_count(differ) <= distance
+    rest, first = F.lit(0), F.lit(0)
+    for i, (at, n) in enumerate(cuts(64, distance + agree)):
+        rest = rest + F.when(bits(differ, at, n) == 0, 1 << i).otherwise(0)
+    for _ in range(agree):
+        lowest = rest.bitwiseAND(-rest)
+        first, rest = first.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
     pairs = a.join(
         b,
         (F.col("a.combo") == F.col("b.combo"))
         & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.fp") < F.col("b.fp"))
-        & near,
+        & near
+        & (F.col("a.combo") == first),
     )
-    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(
