@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 #: Bytes of text tokenized together (a longer text goes alone).
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,9 @@ these two. One piece can end at each position that way, and the path to the end
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ SPACE = "▁"
 CUT = "\ue000"
 KEY = 16
 #: Bytes of distinct chunks indexed together.
-INDEXED = 1 << 20
+INDEXED = 1 << 18
 NONE = np.int64(1 << 40)
 #: Compatible pairs remembered, by a direct-mapped table.
 SLOTS = 1 << 21
@@ -265,13 +267,10 @@ class Encoder(ChunkTokenizer):
             place += 4 * n
 
 
-_encoders: dict[str, Encoder] = {}
-
-
+@lru_cache(4)
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(load(path))
-    return _encoders[path]
+    """One per Python worker, so that what it has learned serves the next task too."""
+    return Encoder(load(path))
 
 
 class Decoder:
@@ -288,22 +287,29 @@ class Decoder:
         return raw[raw[:1] == b" " :].decode("utf-8", "replace")
 
 
+@lru_cache(4)
+def decoder(path: str) -> Decoder:
+    return Decoder(load(path))
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids)`` per row. Null and empty texts have no id; repeated rows stay; a null id stays
     null; other columns are ignored; an empty table gives no row. Texts are encoded whole."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e, texts = encoder(model_path), batch.column(1).cast(pa.large_string())
-        sizes = pc.binary_length(texts).fill_null(0).to_pylist()
-        parts = [x for a, z in runs(sizes) for x in e.ids(texts[a:z])]
-        flat = np.concatenate(parts).astype(np.int32)
-        offsets = np.cumsum([0, *map(len, parts)])
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(model_path)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_string())
+            sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+            for a, z in runs(sizes):
+                parts = e.ids(texts[a:z])
+                offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], ids], ["id", "ids"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(picked, one, f"id {kind}, ids array<int>")
+    return picked.mapInArrow(run, f"id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -320,7 +326,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def texts_of(ids: pa.ListArray, model_path: str) -> list[str]:
-    d = Decoder(encoder(model_path).p)
+    d = decoder(model_path)
     flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
     return [d.text(flat[a:z]) for a, z in zip(offsets, offsets[1:])]
 
