@@ -36,9 +36,9 @@ def reach(width: int, radii: list[int]) -> Column:
 
 
 def segment_cuts(n: int) -> list[tuple[int, int]]:
-    """(offset, width) of each segment: about log2(n) bits, so that a key has about one entry."""
-    width = min(16, max(4, round(math.log2(max(2, n)))))
-    m = -(-BITS // width)
+    """(offset, width) of each segment. A key has about eight entries: meeting one costs less than
+    asking for another key. Below 13 bits the radii would grow in too coarse steps."""
+    m = BITS // max(13, round(math.log2(max(2, n))) - 3) + 1
     at = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(at, at[1:])]
 
@@ -49,14 +49,16 @@ def steps(segments: int, width: int) -> Iterator[tuple[list[int], list[int], int
     Once the first j + 1 segments have been searched to radius a and the rest to a - 1, a code at
     distance m * a + j or less must have been met: else its segments would add up to more.
     """
-    for a in range(width + 1):
-        if a == 1:
-            yield [0, 1], list(range(segments)), 2 * segments - 1
-        elif 1 < a < 4:
-            yield [a], list(range(segments)), segments * a + segments - 1
-        elif a:
-            for j in range(segments):
-                yield [a], [j], segments * a + j
+    half = segments // 2
+    yield [0], list(range(segments)), segments - 1
+    for a in range(1, width + 1):
+        # While a radius asks for few keys, segments go together: a step costs more than its keys.
+        if a < 4:
+            groups = [range(half), range(half, segments)] if a < 3 else [range(segments)]
+        else:
+            groups = [range(j, j + 1) for j in range(segments)]
+        for g in groups:
+            yield [a], list(g), segments * a + g[-1]
 
 
 def nearest(
@@ -85,6 +87,10 @@ def nearest(
         "index",
     )
     asked = materialize(_coded(queries, id_col, vec_col), "queries")
+    # Each query also has a row without a code, which carries its bound from step to step.
+    marker = "code AS q", "cast(null AS bigint) AS code", "0 AS n", "cast(null AS bigint) AS least", "-1 AS distance"
+    found = materialize(asked.select("code").distinct().selectExpr(*marker, f"{BITS} AS bound"), "found")
+    active = found
     cuts = segment_cuts(index.count())
     segments, widest = len(cuts), max(w for _, w in cuts)
     part = lambda j: F.shiftrightunsigned("code", cuts[j][0]).bitwiseAND(F.lit((1 << cuts[j][1]) - 1)).cast("int")
@@ -94,12 +100,11 @@ def nearest(
         F.col("ids")[0].alias("least"),
         F.posexplode(F.array(*[part(j) for j in range(segments)])).alias("seg", "key"),
     )
-    active = asked.select("code").distinct().withColumn("bound", F.lit(BITS))
-    found = None
     for radii, segs, covered in steps(segments, widest):
         probes = (
-            active.select(
-                F.col("code").alias("q"),
+            active.withColumn("code", F.col("q"))
+            .select(
+                "q",
                 "bound",
                 F.explode(
                     F.array(
@@ -114,34 +119,30 @@ def nearest(
             .select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
         )
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        near = entries.where(F.col("seg").isin(segs))
+        # the planner takes exploded probes for as few as the queries and would broadcast them
+        near = entries.where(F.col("seg").isin(segs)).hint("merge")
         met = probes.join(
             near, (probes.seg == near.seg) & (probes.key == near.key) & (distance <= probes.bound)
         ).select("q", "code", "n", "least", distance.alias("distance"))
-        every = (met if found is None else met.unionByName(found.select(met.columns))).distinct()
+        # All that follows needs a query's rows together, and they are brought together once.
+        every = met.unionByName(found.drop("bound")).repartition("q").dropDuplicates(["q", "code"])
         best = W.partitionBy("q").orderBy("distance", "least", "code")
-        top = every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-        new = materialize(top, "found")
-        if found is not None:
-            release(found)
-        found = new
+        top = every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 2)
         so_far = F.sum("n").over(best.rowsBetween(W.unboundedPreceding, 0))
-        settled = (
-            found.withColumn("so_far", so_far)
-            .where(F.col("so_far") >= k + 1)
-            .groupBy(F.col("q").alias("code"))
-            .agg(F.min("distance").alias("kth"))
-        )
-        left = asked.select("code").distinct().join(settled, "code", "left")
-        active = materialize(
-            left.where(F.col("kth").isNull() | (F.col("kth") > covered)).select(
-                "code", F.coalesce("kth", F.lit(BITS)).alias("bound")
-            ),
-            "active",
+        kth = F.min(F.when(F.col("so_far") >= k + 1, F.col("distance"))).over(W.partitionBy("q"))
+        new = materialize(
+            top.drop("place")
+            .withColumn("so_far", so_far)
+            .withColumn("bound", F.coalesce(kth, F.lit(BITS)))
+            .drop("so_far"),
+            "found",
         )
-        if active.isEmpty():
+        release(found)
+        found = new
+        active = found.where(F.col("code").isNull() & (F.col("bound") > covered))
+        if covered >= BITS or active.isEmpty():
             break
-    answers = found.select("q", "code", "distance").join(index, "code").select(
+    answers = found.where("code IS NOT NULL").select("q", "code", "distance").join(index, "code").select(
         "q", "distance", F.explode("ids").alias("id")
     )
     rank = W.partitionBy("query_id", "q").orderBy("distance", "id")
