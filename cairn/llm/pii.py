@@ -25,8 +25,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "secret"]
-#: A token of letters, digits, - and _ with a digit among its first 64 characters.
-TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{12,}+"
+#: A token of letters, digits, - and _ with a digit and a letter among its first 64 characters.
+TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])(?=[0-9_-]{0,63}[A-Za-z])[A-Za-z0-9_-]{12,}+"
 GAZETTEER = ("password", "passwd", "passphrase", "pwd", "token", "secret", "apikey", "api_key", "api-key", "credential", "bearer")
 CONTEXT = 24
 BLOCK = 64
@@ -179,7 +179,9 @@ class Model:
 def expectation_maximisation(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], float, dict]:
     """Posterior of each pattern of votes, the share of positives, and P(vote | class) per labeler.
 
-    It starts from the labelers' majority; a labeler's table is smoothed by one count per vote.
+    It starts from the labelers' majority; a labeler's table is smoothed by one count per vote. A
+    labeler is taken to be no worse than chance: where its votes would tell against what they say,
+    they tell nothing.
     """
     total = sum(counts.values())
     post = {v: 1 / (1 + math.exp(-1.5 * sum(v))) for v in counts}
@@ -192,6 +194,8 @@ def expectation_maximisation(counts: dict[tuple, int], rounds: int = 50) -> tupl
             for v, n in counts.items():
                 by[1, v[j]] += post[v] * n
                 by[0, v[j]] += (1 - post[v]) * n
+            if by[1, 1] * (by[0, 0] + by[0, -1]) < by[0, 1] * (by[1, 0] + by[1, -1]):
+                by = {(y, x): by[0, x] + by[1, x] for y, x in by}
             tables[name] = {(y, x): c / sum(by[y, z] for z in (-1, 0, 1)) for (y, x), c in by.items()}
         for v in counts:
             odds = math.log(share / (1 - share)) + sum(
