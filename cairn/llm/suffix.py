@@ -330,7 +330,8 @@ def repeated(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, li
     )
     texts = materialize(picked.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n")), "texts")
     marks = materialize(anchored(texts, length, k), "anchors")
-    suspect = marks.groupBy("h").count().where("count > 1").select("h")
+    # written first, so that a join may split an anchor that stands in very many places
+    suspect = materialize(marks.groupBy("h").count().where("count > 1").select("h"), "anchors")
     copies = texts.where("n > 1").select("key", F.lit(True).alias("copied"))
     seen = materialize(marks.join(suspect, "h"), "suspects")
     release(marks)
@@ -348,7 +349,7 @@ def repeated(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, li
     # A text that stands in several rows repeats as a whole: one place at its beginning says so.
     everywhere = copies.select("key", F.expr("array(struct(-1 AS at, cast(null AS binary) AS mask))").alias("places"))
     found = materialize(places.join(copies.select("key"), "key", "left_anti").unionByName(everywhere), "places")
-    for df in (seen, counted, masks):
+    for df in (suspect, seen, counted, masks):
         release(df)
     return found, [texts]
 
