@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import codec, latin, parsing, paths
@@ -35,7 +35,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-BYTES = F.octet_length("text").cast("bigint")
+def n_bytes() -> Column:
+    return F.octet_length("text").cast("bigint")
+
+
 SZ = "octet_length(encode(coalesce(text, '')))"
 LAYOUT = f"""l AS (SELECT doc_id, {SZ}::BIGINT AS sz,
   coalesce(sum({SZ}) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM documents)"""
@@ -43,21 +46,21 @@ LAYOUT = f"""l AS (SELECT doc_id, {SZ}::BIGINT AS sz,
 
 @query(f"WITH {LAYOUT} SELECT doc_id, sz AS size, off AS \"offset\" FROM l")
 def layout_offsets(spark, sf_dir):
-    return layout.file_layout(docs(spark, sf_dir), "doc_id", BYTES).select("doc_id", "size", "offset")
+    return layout.file_layout(docs(spark, sf_dir), "doc_id", n_bytes()).select("doc_id", "size", "offset")
 
 
 @query(f"""WITH {LAYOUT}, b AS (SELECT *, unnest(range(off // 65536, (off + sz - 1) // 65536 + 1)) AS block_id FROM l WHERE sz > 0)
 SELECT block_id::BIGINT AS block_id, count(*)::BIGINT AS n_files,
   sum(least(off + sz, (block_id + 1) * 65536) - greatest(off, block_id * 65536))::BIGINT AS used_bytes FROM b GROUP BY block_id""")
 def block_fanout(spark, sf_dir):
-    return layout.block_fanout(layout.file_layout(docs(spark, sf_dir), "doc_id", BYTES))
+    return layout.block_fanout(layout.file_layout(docs(spark, sf_dir), "doc_id", n_bytes()))
 
 
 @query(f"""WITH {LAYOUT}, b AS (SELECT *, unnest(range(off // 4096, (off + sz - 1) // 4096 + 1))::BIGINT AS b FROM l WHERE sz > 0)
 SELECT doc_id, b AS block_id, greatest(off, b * 4096) - b * 4096 AS in_block, greatest(off, b * 4096) - off AS in_file,
   least(off + sz, (b + 1) * 4096) - greatest(off, b * 4096) AS length FROM b""")
 def block_overlap(spark, sf_dir):
-    got = layout.block_overlap(layout.file_layout(docs(spark, sf_dir), "doc_id", BYTES), 4096)
+    got = layout.block_overlap(layout.file_layout(docs(spark, sf_dir), "doc_id", n_bytes()), 4096)
     return got.select("doc_id", "block_id", "in_block", "in_file", "length")
 
 
@@ -150,7 +153,7 @@ def fingerprint_merge(spark, sf_dir):
 
 @query(f"SELECT count(*)::BIGINT AS n_entries, count(*)::BIGINT AS n_files, sum({SZ})::DECIMAL(38,0) AS n_bytes FROM documents")
 def total_bytes(spark, sf_dir):
-    rows = docs(spark, sf_dir).select(F.lit(True).alias("is_file"), F.coalesce(BYTES, F.lit(0)).alias("size"))
+    rows = docs(spark, sf_dir).select(F.lit(True).alias("is_file"), F.coalesce(n_bytes(), F.lit(0)).alias("size"))
     return tree.totals(rows)
 
 
@@ -245,7 +248,7 @@ BLOCKS = f"b AS (SELECT doc_id AS block_id, least(greatest({SZ}, 1), 65536)::BIG
 
 
 def sized_blocks(spark, sf_dir):
-    stored = layout.stored_size(F.greatest(BYTES, F.lit(1)))
+    stored = layout.stored_size(F.greatest(n_bytes(), F.lit(1)))
     return docs(spark, sf_dir).select(F.col("doc_id").alias("block_id"), stored.alias("stored"))
 
 
@@ -272,7 +275,7 @@ s AS (SELECT frame_id, c_size, d_size, (sum(c_size) OVER w - c_size)::BIGINT AS
 
 
 def frames(spark, sf_dir):
-    got = seek.frames_of(docs(spark, sf_dir), "doc_id", F.coalesce(BYTES, F.lit(0)), 4096)
+    got = seek.frames_of(docs(spark, sf_dir), "doc_id", F.coalesce(n_bytes(), F.lit(0)), 4096)
     numbered = layout.running_total(got, "doc_id", F.lit(1), "number", ties=("frame_id",))
     d = F.col("d_size").cast("bigint")
     return numbered.select(
@@ -391,13 +394,13 @@ def stage_rebase(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CASE WHEN {SZ} * 40 <= 16384 THEN 'Le16K' WHEN {SZ} * 40 <= 131072 THEN 'Le128K' WHEN {SZ} * 40 <= 262144 THEN 'Le256K' ELSE 'Default' END AS tier FROM documents""")
 def size_tiers(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", parsing.size_tier(BYTES * 40).alias("tier"))
+    return docs(spark, sf_dir).select("doc_id", parsing.size_tier(n_bytes() * 40).alias("tier"))
 
 
 @query(f"""SELECT doc_id, ({SZ} + ({SZ} >> 8) + CASE WHEN {SZ} < 131072 THEN (131072 - {SZ}) >> 11 ELSE 0 END)::BIGINT AS bound, (({SZ} >> 6) + 2)::BIGINT AS gain FROM documents""")
 def compress_bound(spark, sf_dir):
     return docs(spark, sf_dir).select(
-        "doc_id", parsing.compress_bound(BYTES).alias("bound"), parsing.min_gain(BYTES, 6).alias("gain")
+        "doc_id", parsing.compress_bound(n_bytes()).alias("bound"), parsing.min_gain(n_bytes(), 6).alias("gain")
     )
 
 
