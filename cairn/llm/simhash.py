@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +16,8 @@ from cairn.llm.common import connected_components, map_batches, materialize
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for any text.
 BLOCK = 1 << 18
+#: Choices of blocks joined at once.
+KEYS = 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -68,15 +71,10 @@ def cuts(width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def block_keys(fps: DataFrame, distance: int, agree: int) -> DataFrame:
-    """``(combo, key, fp)``: each choice of ``agree`` of ``distance + agree`` blocks, as a bit mask.
-
-    Two fingerprints that differ in at most ``distance`` bits have that many blocks in common, so
-    they share a key for at least one choice.
-    """
-    blocks = cuts(64, distance + agree)
+def block_keys(fps: DataFrame, blocks: list[tuple[int, int]], combos: list[tuple[int, ...]]) -> DataFrame:
+    """``(combo, key, fp)``: what each fingerprint has in each choice of blocks; ``combo`` is a bit mask."""
     keys = []
-    for chosen in combinations(range(len(blocks)), agree):
+    for chosen in combos:
         key, used = F.lit(0).cast("bigint"), 0
         for at, n in (blocks[i] for i in chosen):
             key, used = key.bitwiseOR(F.shiftleft(bits(F.col("fp"), at, n), used)), used + n
@@ -87,29 +85,43 @@ def block_keys(fps: DataFrame, distance: int, agree: int) -> DataFrame:
 def links(fps: DataFrame, distance: int = 3, agree: int = 3) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of distinct ``fps(fp)`` at ``distance`` bits or fewer.
 
+    There are ``distance + agree`` blocks. Two fingerprints that differ in at most ``distance`` bits
+    have ``agree`` blocks in common, so they share a key for at least one choice of so many.
+    Choices are joined ``KEYS`` at a time, which bounds what a join sorts; all of them are.
+    """
+    blocks = cuts(64, distance + agree)
+    combos = list(combinations(range(len(blocks)), agree))
+    parts = [_links(fps, blocks, combos[i : i + KEYS], distance) for i in range(0, len(combos), KEYS)]
+    if len(parts) > 1:
+        parts = [materialize(p, "links") for p in parts]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _links(fps: DataFrame, blocks: list[tuple[int, int]], combos: list[tuple[int, ...]], distance: int) -> DataFrame:
+    """Links by some choices of blocks.
+
     A key held by one fingerprint alone is dropped before the join; that count is combined before
     its shuffle. The join's condition verifies the distance, and that the key is of the first blocks
     the pair has in common, so each link leaves it once and nothing else does.
     """
-    keys = block_keys(fps, distance, agree)
+    keys = block_keys(fps, blocks, combos)
     shared = keys.groupBy("combo", "key").count().where("count > 1").select("combo", "key")
     held = keys.join(shared, ["combo", "key"])
     a, b = held.alias("a"), held.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = F.bit_count(differ) <= distance
-    rest, first = F.lit(0), F.lit(0)
-    for i, (at, n) in enumerate(cuts(64, distance + agree)):
-        rest = rest + F.when(bits(differ, at, n) == 0, 1 << i).otherwise(0)
-    for _ in range(agree):
-        lowest = rest.bitwiseAND(-rest)
-        first, rest = first.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
+    same = F.lit(0)
+    for i, (at, n) in enumerate(blocks):
+        same = same + F.when(bits(differ, at, n) == 0, 1 << i).otherwise(0)
+    # of the blocks up to the key's last one, those in common are the key's
+    reach = F.call_function("shiftleft", F.lit(1), F.length(F.bin("a.combo"))) - 1
     pairs = a.join(
         b,
         (F.col("a.combo") == F.col("b.combo"))
         & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.fp") < F.col("b.fp"))
         & near
-        & (F.col("a.combo") == first),
+        & (same.bitwiseAND(reach) == F.col("a.combo")),
     )
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
