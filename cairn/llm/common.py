@@ -52,15 +52,28 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``f`` to each Arrow batch; batches are the only state."""
+#: Bytes of an Arrow batch: what goes to and from Python workers at once, whatever the rows' sizes.
+BATCH_BYTES = 4 << 20
+#: Rows of a batch that are worked on at once; what a worker holds beside the batch is for these.
+ROWS = 1024
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with small batches, so that neither side holds much of a partition."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``f`` to slices of Arrow batches, one after the other; it keeps nothing between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
+            for i in range(0, b.num_rows, ROWS):
+                yield f(b.slice(i, ROWS))
+            pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:

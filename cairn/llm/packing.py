@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm.chunks import ChunkTokenizer, runs
+from cairn.llm.common import map_arrow
 
 #: A chunk that is one word and perhaps some punctuation: Latin letters only, so that it is known to
 #: be composed and one word to the tokenizer too.
@@ -204,4 +205,4 @@ def pack(
             yield flush()
 
     schema = SCHEMA.format(kind=kind) + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.chunks import ChunkTokenizer, gather, runs
-from cairn.llm.common import map_batches
+from cairn.llm.common import map_arrow, map_batches
 
 SPACE = "▁"
 #: Marks where chunks part; a text that holds it itself is split another way.
@@ -309,7 +309,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], ids], ["id", "ids"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, ids array<int>")
+    return map_arrow(picked, run, f"id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

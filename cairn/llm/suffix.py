@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.llm.chunks import runs
-from cairn.llm.common import map_batches, materialize, release
+from cairn.llm.common import map_arrow, map_batches, materialize, release
 
-#: Items that one task orders together, on average.
+#: Items that one task orders together, on average, and most that one anchor may bring to a task.
 ITEMS = 40_000
+MOST_ITEMS = 100_000
 #: Bytes of text scanned for anchors together.
 TOGETHER = 1 << 22
 ODD = 0x9E3779B97F4A7C15
@@ -303,7 +303,36 @@ def compared(items: DataFrame, length: int, k: int) -> DataFrame:
         cols = [t[x].combine_chunks().take(pa.array(some)) for x in "hc"]
         yield pa.RecordBatch.from_arrays([*cols, mask], ["h", "c", "mask"])
 
-    return items.mapInArrow(run, "h bigint, c bigint, mask binary")
+    return map_arrow(items, run, "h bigint, c bigint, mask binary")
+
+
+def counted_strings(items: DataFrame, length: int, k: int) -> DataFrame:
+    """The same for anchors with more contexts than a task should hold: each string around such an
+    anchor is counted by its place and 128-bit hash, combined before the shuffle."""
+
+    def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, c, at, string = [], [], [], []
+        for r in batch.to_pylist():
+            text, back = r["before"] + r["after"], len(r["before"])
+            for a in range(max(0, length - len(r["after"])), min(back, length - k) + 1):
+                h.append(r["h"])
+                c.append(r["c"])
+                at.append(a)
+                string.append(xxhash.xxh3_128_digest(text[back - a : back - a + length]))
+        cols = [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(at, pa.int32()), pa.array(string, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["h", "c", "a", "string"])
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.zeros((batch.num_rows, length - k + 1), bool)
+        for row, a in zip(bits, batch.column(2).to_pylist()):
+            row[a] = True
+        mask = pa.array([m.tobytes() for m in np.packbits(bits, axis=1)], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], mask], ["h", "c", "mask"])
+
+    each = materialize(map_batches(items, strings, "h bigint, c bigint, a int, string binary"), "strings")
+    again = each.groupBy("h", "a", "string").count().where("count > 1").drop("count")
+    places = each.join(again, ["h", "a", "string"]).groupBy("h", "c").agg(F.collect_list("a").alias("a"))
+    return map_batches(places, packed, "h bigint, c bigint, mask binary")
 
 
 def covered(size: int, places: list[dict], length: int, k: int) -> np.ndarray:
@@ -321,7 +350,7 @@ def covered(size: int, places: list[dict], length: int, k: int) -> np.ndarray:
     return run[:size] > 0
 
 
-def repeated(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, list[DataFrame]]:
+def repeated(docs: DataFrame, text_col: str, length: int, most_items: int) -> tuple[DataFrame, list[DataFrame]]:
     """``(key, places)`` for each distinct text with repeated strings; keys are ``text_key``'s."""
     spark, k = docs.sparkSession, length // 4
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -336,12 +365,20 @@ def repeated(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, li
     seen = materialize(marks.join(suspect, "h"), "suspects")
     release(marks)
     by_content = seen.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    counted = by_content.withColumn("m", F.count("*").over(W.partitionBy("h")))
-    counted = materialize(counted.where("n > 1 OR m > 1"), "contents")
+    by_content = materialize(by_content, "contents")
+    varied = materialize(by_content.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "contents")
+    counted = by_content.join(varied, "h", "left").where("n > 1 OR m IS NOT NULL")
     items = counted.where("m > 1")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // ITEMS))
-    cut = contexts(items.select("one.key", "one.at", "h", "c"), texts, length, k).repartition(parts, "h")
-    masks = materialize(compared(cut, length, k), "masks")
+    n_items, n_many = items.agg(F.count("*"), F.count_if(F.col("m") > most_items)).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_items // ITEMS))
+    few, many = (
+        contexts(x.select("one.key", "one.at", "h", "c"), texts, length, k)
+        for x in (items.where(F.col("m") <= most_items), items.where(F.col("m") > most_items))
+    )
+    verdict = compared(few.repartition(parts, "h"), length, k)
+    if n_many:
+        verdict = verdict.unionByName(counted_strings(many, length, k))
+    masks = materialize(verdict, "masks")
     whole = counted.where("n > 1").select("h", "c", F.lit(None).cast("binary").alias("mask"))
     partly = masks.join(counted.where("n > 1").select("h", "c"), ["h", "c"], "left_anti")
     verdicts = whole.unionByName(partly)
@@ -349,7 +386,7 @@ def repeated(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, li
     # A text that stands in several rows repeats as a whole: one place at its beginning says so.
     everywhere = copies.select("key", F.expr("array(struct(-1 AS at, cast(null AS binary) AS mask))").alias("places"))
     found = materialize(places.join(copies.select("key"), "key", "left_anti").unionByName(everywhere), "places")
-    for df in (suspect, seen, counted, masks):
+    for df in (suspect, seen, by_content, varied, masks):
         release(df)
     return found, [texts]
 
@@ -359,7 +396,12 @@ def text_key(text: Column) -> Column:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_row: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 200,
+    keep_row: bool = False,
+    most_items: int = MOST_ITEMS,
 ) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept)`` per row; ``keep_row`` adds ``row``, all columns as
     a struct, and makes ``kept`` a string, without the characters that lost a byte.
@@ -370,7 +412,7 @@ def remove_repeats(
     stays null; an empty table gives no row.
     """
     k, kind = length // 4, docs.schema[id_col].dataType.simpleString()
-    found, used = repeated(docs, text_col, length)
+    found, used = repeated(docs, text_col, length, most_items)
     for df in used:
         release(df)
     row = [F.struct(*docs.columns).alias("row")] * keep_row

@@ -243,8 +243,8 @@ def brute_removed(texts, length):
     return gone
 
 
-@pytest.mark.parametrize("length", [40, 200])
-def test_repeats(spark, length):
+@pytest.mark.parametrize("length,most_items", [(40, 2), (40, 100), (200, 100), (200, 1)])
+def test_repeats(spark, length, most_items):
     rng = random.Random(9)
     shared = [words(rng, 40) for _ in range(4)]
     texts = odd_texts()
@@ -253,7 +253,7 @@ def test_repeats(spark, length):
         parts.insert(1, rng.choice(shared)[rng.randrange(60) : 150 + rng.randrange(90)])
         texts.append("é".join(parts))
     texts += [texts[-1]] * 3 + ["xy" * 300, "x" * length, "x" * (length + 1)]
-    got = {r.id: r for r in suffix.remove_repeats(table(spark, texts), length=length).collect()}
+    got = {r.id: r for r in suffix.remove_repeats(table(spark, texts), length=length, most_items=most_items).collect()}
     raw = [(t or "").encode() for t in texts]
     for i, (t, gone) in enumerate(zip(raw, brute_removed(raw, length))):
         kept = bytes(c for c, g in zip(t, gone) if not g)
