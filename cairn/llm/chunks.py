@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Bytes of text tokenized together (a longer text goes alone).
 TOGETHER = 4 << 20
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,10 +59,23 @@ BATCH_BYTES = 4 << 20
 ROWS = 1024
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with small batches, so that neither side holds much of a partition."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -71,7 +85,6 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 yield f(b.slice(i, ROWS))
-            pa.default_memory_pool().release_unused()
 
     return map_arrow(df, run, schema)
 
