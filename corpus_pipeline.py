@@ -7,16 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import language, packing, pii, simhash, suffix
-from cairn.llm.common import shared_dir
+from cairn.llm import language, packing, pii, similar, suffix
+from cairn.llm.common import materialize, shared_dir
 from cairn.llm.queries import tokenizer_path
 
 #: A document whose language is less likely than this is rejected.
 LEAST_SCORE = 0.5
-#: Words of a shingle and differing bits of a link. Over five-word shingles, 6 of 64 bits stand for a
-#: similarity of about 0.9; fewer shared shingles than that are found less often, and from 0.8 down
-#: hardly ever.
-WORDS, DISTANCE = 5, 6
+#: Words of a shingle; texts that share ``similar.LEAST`` of their shingles, 0.8, are near-duplicates.
+WORDS = 5
 CAPACITY = 2048
 
 
@@ -35,8 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id stays; rows without an id all stay."""
-    groups = simhash.near_duplicates(docs, words=WORDS, distance=DISTANCE)
-    stay = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    groups = materialize(similar.near_duplicates(docs, words=WORDS), "groups")
+    stay = groups.groupBy("root").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
     named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
