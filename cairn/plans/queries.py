@@ -531,6 +531,21 @@ def seekable_ranges(spark, sf_dir):
     )
 
 
+@query(f"""SELECT doc_id AS key, sha256(coalesce(text, '')) AS all_sha256,
+CASE WHEN {SZ} >= 1500 THEN sha256(substr(hex(encode(text)), 2001, 1000)) END AS range_sha256 FROM documents""")
+def seekable_files(spark, sf_dir):
+    """Every document as a seekable file, short and empty ones too; the range only of those that have it."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("key"), raw.alias("raw"))
+    files = seekable.assemble(seekable.fixed_frames(rows, "key", F.col("raw"), 700), "key")
+    long = rows.where(F.octet_length("raw") >= 1500).select("key")
+    part = seekable.read_range(files.join(long, "key", "left_semi"), "key", 1000, 500)
+    whole = seekable.read_all(files, "key")
+    return whole.select("key", F.sha2("content", 256).alias("all_sha256")).join(
+        part.select("key", F.sha2(F.hex("content"), 256).alias("range_sha256")), "key", "left"
+    )
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that all of a cluster sees: below the shared checkpoint folder, or a local one in tests."""
     import tempfile
