@@ -32,11 +32,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; rows without an id all stay."""
+    """Of each group one row stays: the one with the smallest id, by the text's hash where ids are equal.
+
+    A row without an id stays only where its whole group has none. Ids need not be unique.
+    """
     groups = materialize(similar.near_duplicates(docs, words=WORDS), "groups")
-    stay = groups.groupBy("root").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")).alias("first")
+    stay = groups.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.h").alias("h"))
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    named = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("h")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_stages(spark, tmp_path):
 def test_registry():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_duplicates_keep_a_row_of_each_group(spark):
+    one, other, third = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, one), (5, other), (3, one), (None, other), (None, third), (None, third), (None, third + " end"), (9, "z"), (9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept)
+    assert ids == [(False, 3), (False, 5), (False, 9), (True, 0)]
+    assert {r.doc_id: r.text for r in kept if r.doc_id} == {3: one, 5: other, 9: "z"}
