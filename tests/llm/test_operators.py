@@ -354,3 +354,10 @@ def test_codes_of_long_vectors_fold(spark):
     df = spark.createDataFrame([(v,), ([0.5, -1.0],)], "v array<double>")
     got = [r[0] for r in df.select(topk.sign_code(F.col("v"))).collect()]
     assert got == [((1 << 64) - (1 << 32)) - (1 << 64), 1]
+
+
+def test_secret_candidates_of_late_second_kind(spark):
+    texts = [f"key = {'q' * 70}7 end", f"key = {'5' * 200}x end", "q" * 70, "5" * 70, "a" * 2_000_000 + "1", "ab-" * 500_000]
+    rows = table(spark, texts).select("doc_id", F.col("text").alias("__text"))
+    got = {r.doc_id: [(c.start, c.stop) for c in r.candidates] for r in pii.described(rows).collect()}
+    assert got == {0: [(6, 77)], 1: [(6, 207)], 2: [], 3: [], 4: [(0, 2_000_001)], 5: []}
