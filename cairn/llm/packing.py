@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm.chunks import ChunkTokenizer, runs
+from cairn.llm.chunks import ChunkTokenizer, own, runs
 from cairn.llm.common import map_arrow
 
 #: A chunk that is one word and perhaps some punctuation: Latin letters only, so that it is known to
@@ -27,12 +27,13 @@ class WordTokenizer(ChunkTokenizer):
 
     Chunks between ASCII white space are tokenized alone, each distinct one once. Arrow lower-cases,
     splits and numbers them; words are encoded many to a call and told apart by the end-of-word ids.
+    A text that may hold a special token's string, in whatever case, is encoded as a whole instead.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)  # each word comes once
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -41,6 +42,14 @@ class WordTokenizer(ChunkTokenizer):
     def split(self, texts: pa.Array) -> pa.ListArray:
         return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        out = super().ids(texts)
+        for special in self.special:
+            held = pc.match_substring(own(texts), special, ignore_case=True)
+            for i in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self._encode([texts[i].as_py()])[0]
+        return out
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -96,14 +105,17 @@ class Packer:
     A piece goes to a bin that holds it under every capacity: with ``rule`` "norm" the one whose
     weighted residual is shortest once the piece is in, with "dot" the one whose weighted residual
     has the largest dot product with the piece. Ties go to the oldest bin; no such bin opens a new
-    one. A piece of n tokens costs n tokens, one document and n * n of attention.
+    one. A piece of n tokens costs n tokens, one document and n * n of attention. A bin stays open
+    until it is full.
     """
 
-    def __init__(self, tokens: int, docs: int | None, attention: int | None, rule: str, weights, most_open: int):
+    def __init__(self, tokens: int, docs: int | None, attention: int | None, rule: str, weights: tuple[float, float, float]):
+        if rule not in ("norm", "dot"):
+            raise ValueError("rule must be norm or dot")
         # A sequence of single-token documents reaches the other two capacities only if they are set lower.
         self.caps = np.array([tokens, docs or tokens, attention or tokens * tokens], float)
         self.scale = np.array(weights, float) / self.caps**2
-        self.rule, self.most_open = rule, most_open
+        self.rule = rule
         self.left = np.empty((0, 3))
         self.name = np.empty(0, np.int64)
         self.opened = 0
@@ -135,12 +147,15 @@ class Packer:
             where[i], offset[i] = name[at], self.caps[0] - left[at, 0]
             left[at] -= item
         room = np.flatnonzero((left[:n] >= 1).all(axis=1))
-        if len(room) > self.most_open:
-            room = np.sort(room[np.argsort(-left[room, 0], kind="stable")[: self.most_open]])
         self.left, self.name = left[room], name[room]
         return where, offset
 
 
+#: Weights of the residual tokens, documents and attention cost, each as a share of its capacity.
+WEIGHTS = (1.0, 1.0, 1.0)
+#: Pieces that a task places together, longest first.
+WINDOW = 65_536
+
 SCHEMA = "id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
@@ -153,25 +168,29 @@ def pack(
     most_docs: int | None = None,
     most_attention: int | None = None,
     rule: str = "norm",
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
-    window: int = 16_384,
-    most_open: int = 4_096,
+    weights: tuple[float, float, float] = WEIGHTS,
+    window: int = WINDOW,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: where it begins in its document and where it lies in its sequence.
 
-    A document is its ids and a closing 0, cut only where it exceeds ``capacity``. Each task packs
-    the rows it reads, ``window`` pieces at a time, and carries up to ``most_open`` unfilled
-    sequences over to the next window; so nothing is shuffled, memory has a bound, and a task run
-    again gives the same rows. ``sequence_id`` is unique over all tasks. Null text counts as empty
-    (one piece of length 1); repeated rows are packed each; a null id stays null; an empty table
-    gives no row. ``with_ids`` adds the ids themselves as ``ids`` (array<int>).
+    A document is its ids and a closing 0, cut only where it exceeds ``capacity``. Tokens, documents
+    and attention cost (the square of a piece's tokens) are held under ``capacity``, ``most_docs``
+    and ``most_attention``; ``weights`` say how much each residual counts when a sequence is chosen.
+    Each task packs the rows it reads, ``window`` pieces at a time, longest first, and carries every
+    sequence that has room over to the next window; so nothing is shuffled, and a task run again
+    gives the same rows. A task holds a window's pieces and four numbers for each open sequence.
+
+    ``sequence_id`` is unique over all tasks. Null text counts as empty (one piece of length 1), a
+    text of any length is encoded whole, pieces of equal length go in the order they are read,
+    repeated rows are packed each, a null id stays null, other columns are ignored whatever their
+    names, and an empty table gives no row. ``with_ids`` adds the ids themselves as ``ids``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
-        bins = Packer(capacity, most_docs, most_attention, rule, weights, most_open)
+        bins = Packer(capacity, most_docs, most_attention, rule, weights)
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
