@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from cairn.llm.common import map_batches
 
 UNKNOWN = "und"
-#: Rows to learn from, on average, of those allowed; which ones is settled by a hash of the id.
+#: Rows to learn from at most, about, of those allowed; which ones is settled by a hash of the id.
 SAMPLE_ROWS = 20_000
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 #: Code points handled at once within a batch.
 TOGETHER = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN_LETTER = re.compile("[A-Za-z]")
 
 
 def held_out(id_col: Column, modulus: int, rest: int) -> Column:
@@ -36,6 +36,11 @@ def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(grain)) < int(grain * most / n))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by Unicode, of whatever script; numbers like ½ are none."""
+    return bool(PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all n-grams of all texts, and how many each text has (a sparse matrix's rows).
 
@@ -151,7 +156,7 @@ def predict(
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, texts = shared.value, batch.column(0).to_pylist()
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and m.languages and has_letter(t)]
         if known:
             ll = log_likelihoods(m, [texts[i] for i in known])
             p = np.exp(ll - ll.max(axis=1, keepdims=True))
@@ -170,9 +175,21 @@ def predict(
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_row: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    keep_row: bool = False,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """Learn from the rows that are not held out and predict all; adds ``held_out``."""
+    """Learn from the rows that are not held out and predict all; adds ``held_out``.
+
+    Rows without a text or a language teach nothing, nor do those whose id leaves 2 of 4 by crc32; a
+    null id is not held out. About ``sample_rows`` rows at most teach, chosen by a hash of the id, so
+    that what is learned does not depend on how rows lie. Repeated rows are predicted each, alike.
+    Columns of any name ride along in ``row``. An empty table gives no row; a table without a row to
+    learn from gives ``und`` throughout.
+    """
     allowed = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), 4, 2))
-    model = fit(sampled(allowed, id_col, SAMPLE_ROWS), text_col, lang_col)
+    model = fit(sampled(allowed, id_col, sample_rows), text_col, lang_col)
     return predict(docs, model, id_col, text_col, keep_row).withColumn("held_out", held_out(F.col("id"), 4, 2))
