@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 BOS, EOS, SEP = "<s>", "</s>", "<sep>"
 ROLE_MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<out>", "</out>")}
 OTHER = ("<role ", "</role>")
-#: In this order; a backslash in escaped text is always followed by b, l or o.
+#: In this order; a backslash in escaped text is always followed by b, l or o, in a role also by g.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\o"))
+#: A role stands inside a mark that ends with ``>``.
+ROLE_ESCAPES = (*ESCAPES, (">", "\\g"))
 
 
-def escape(col: Column) -> Column:
-    for raw, safe in ESCAPES:
+def escape(col: Column, escapes: tuple = ESCAPES) -> Column:
+    for raw, safe in escapes:
         col = F.replace(col, F.lit(raw), F.lit(safe))
     return col
 
 
-def unescape(col: Column) -> Column:
-    for raw, safe in reversed(ESCAPES):
+def unescape(col: Column, escapes: tuple = ESCAPES) -> Column:
+    for raw, safe in reversed(escapes):
         col = F.replace(col, F.lit(safe), F.lit(raw))
     return col
 
@@ -33,7 +35,9 @@ def format_conversations(
     Turn structs are sorted by turn, then role, then text (ties are thus settled; a null turn comes
     first). Adjacent turns of one role are merged into one block, their texts parted by ``<sep>``.
     Null text counts as empty, a null role as the empty role; both stay a turn. A null conversation
-    id is a conversation of its own. Repeated rows are repeated turns. Other columns are ignored.
+    id is a conversation of its own. Repeated rows are repeated turns. Other columns are ignored,
+    whatever their names. An empty table gives no row. A conversation is one array, so all of one
+    must fit in a task; nothing else is brought together.
     """
     t = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -75,7 +79,7 @@ def format_conversations(
 
 def _render(block: Column) -> Column:
     role, text = block["role"], block["text"]
-    out = F.concat(F.lit(OTHER[0]), escape(role), F.lit(">"), text, F.lit(OTHER[1]))
+    out = F.concat(F.lit(OTHER[0]), escape(role, ROLE_ESCAPES), F.lit(">"), text, F.lit(OTHER[1]))
     for name, (head, tail) in ROLE_MARKS.items():
         out = F.when(role == name, F.concat(F.lit(head), text, F.lit(tail))).otherwise(out)
     return out
@@ -91,7 +95,7 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
     bodies = F.regexp_extract_all("formatted", F.lit(BLOCK), 2)
 
     def role(mark: Column) -> Column:
-        out = unescape(F.regexp_extract(mark, r"^<role ([^>]*)>$", 1))
+        out = unescape(F.regexp_extract(mark, r"^<role ([^>]*)>$", 1), ROLE_ESCAPES)
         for name, (head, _) in ROLE_MARKS.items():
             out = F.when(mark == head, F.lit(name)).otherwise(out)
         return out
@@ -148,6 +152,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (7 + sum(length(safe) + CASE WHEN before = role THEN 5 ELSE
      CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 11
-     ELSE 14 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '[', '\o')) END END))::BIGINT AS formatted_chars
+     ELSE 14 + length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '[', '\o'), '>', '\g')) END END))::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id
 """
