@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in local tests, a
-    temporary folder is set in its place.
+    Where that is unset, a session whose executors are threads of the driver, as in tests, gets a
+    folder of its own; any other has no folder that all of it sees, so this raises.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
         found = sc.getCheckpointDir()
     return found
@@ -47,12 +51,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Remove the files of a materialized frame that nothing reads any more."""
     path = getattr(df, "_cairn_path", None)
+    for part in getattr(df, "_cairn_parts", ()):
+        release(part)
     if path:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the jobs inside run."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 #: Bytes of an Arrow batch: what goes to and from Python workers at once, whatever the rows' sizes.
 BATCH_BYTES = 4 << 20
 #: Rows of a batch that are worked on at once; what a worker holds beside the batch is for these.
@@ -68,7 +88,10 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches, so that neither side holds much of a partition."""
+    """``mapInArrow`` with small batches, so that neither side holds much of a partition.
+
+    Spark reads the size when the job begins, after this returns, so it stays set for the session.
+    """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -89,19 +112,23 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return map_arrow(df, run, schema)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label each node of ``edges(a, b)`` with the smallest node of its component.
 
-    Alternates large-star and small-star steps. Each is one minimum per node, combined before the
-    shuffle, and an equi-join back to the edges, which adaptive execution may split where a node
-    has very many edges. Edges never leave the executors; only their count and a checksum do.
-    Returns ``(node, root)``; an edge from a node to itself, or one with a null, counts for nothing.
+    Alternates large-star and small-star steps until every edge leads straight to a least node: no
+    node has two edges down, and none that an edge leads to has one. Each step is one minimum per
+    node, combined before the shuffle, and an equi-join back to the edges, which adaptive execution
+    may split where a node has very many edges. Edges never leave the executors. Returns
+    ``(node, root)``; an edge from a node to itself, or one with a null, counts for nothing.
     """
     at = materialize(
         edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges"
     )
-    before = None
-    for _ in range(most_rounds):
+    while True:
+        twice = at.groupBy("u").count().where("count > 1").select("u")
+        passed = at.select("u").join(at.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        if twice.unionByName(passed).isEmpty():
+            break
         both = at.unionByName(at.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
@@ -115,17 +142,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
             .distinct()
         )
         now = materialize(small, "edges")
-        row = now.agg(
-            F.count("*").alias("n"), F.sum(F.expr("cast(hash(u, v) AS BIGINT)")).alias("h")
-        ).first()
         release(at)
         at = now
-        if (row.n, row.h) == before:
-            break
-        before = (row.n, row.h)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    stars = at.groupBy("u").agg(F.min("v").alias("root"))
-    return stars.selectExpr("u AS node", "root").unionByName(
-        stars.select("root").distinct().selectExpr("root AS node", "root")
-    )
+    stars = at.selectExpr("u AS node", "v AS root")
+    return stars.unionByName(stars.select("root").distinct().selectExpr("root AS node", "root"))

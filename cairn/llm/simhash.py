@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import connected_components, map_batches, materialize
+from cairn.llm.common import connected_components, map_batches, materialize, release
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for any text.
@@ -82,34 +83,64 @@ def block_keys(fps: DataFrame, blocks: list[tuple[int, int]], combos: list[tuple
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.combo", "k.key", "fp")
 
 
-def links(fps: DataFrame, distance: int = 3, agree: int = 3) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of distinct ``fps(fp)`` at ``distance`` bits or fewer.
+def enough_blocks(n: int, distance: int) -> int:
+    """How many blocks a key takes so that it has ten bits more than ``n`` fingerprints need to differ:
+    by chance alone, keys then bring together fewer pairs than there are fingerprints."""
+    wanted = math.log2(max(2, n)) + 10
+    return next((a for a in range(2, 9) if 64 * a // (distance + a) >= wanted), 9)
+
+
+def links(fps: DataFrame, distance: int = 3, agree: int | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of distinct ``fps(fp)`` at ``distance`` bits or fewer, whose components are those
+    of all such pairs.
 
     There are ``distance + agree`` blocks. Two fingerprints that differ in at most ``distance`` bits
-    have ``agree`` blocks in common, so they share a key for at least one choice of so many.
-    Choices are joined ``KEYS`` at a time, which bounds what a join sorts; all of them are.
+    have ``agree`` blocks in common, so they share a key for at least one choice of so many; without
+    ``agree`` the number of fingerprints decides. Within a key, all are first held against its least
+    and its greatest fingerprint. What that links is one component, so then only pairs of different
+    components are compared: a dense cluster gives a link or two for each key, not all its pairs.
     """
+    agree = enough_blocks(fps.count(), distance) if agree is None else agree
     blocks = cuts(64, distance + agree)
     combos = list(combinations(range(len(blocks)), agree))
-    parts = [_links(fps, blocks, combos[i : i + KEYS], distance) for i in range(0, len(combos), KEYS)]
-    if len(parts) > 1:
-        parts = [materialize(p, "links") for p in parts]
-    return reduce(DataFrame.unionByName, parts)
+    held = materialize(
+        reduce(DataFrame.unionByName, [shared_keys(fps, blocks, combos[i : i + KEYS]) for i in range(0, len(combos), KEYS)]),
+        "held",
+    )
+    ends = held.groupBy("combo", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
+    stars = held.join(ends, ["combo", "key"]).select(F.explode(F.array("least", "most")).alias("a"), F.col("fp").alias("b"))
+    first = materialize(stars.where((F.col("a") != F.col("b")) & near("a", "b", distance)).distinct(), "links")
+    roots = connected_components(first).withColumnRenamed("node", "fp")
+    at = materialize(held.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    release(held)
+    mixed = at.groupBy("combo", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    open_ = at.join(mixed.select("combo", "key"), ["combo", "key"], "left_semi")
+    rest = materialize(across(open_, blocks, distance), "links")
+    release(at)
+    both = first.unionByName(rest)
+    both._cairn_parts = (first, rest)
+    return both
+
+
+def near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def shared_keys(fps: DataFrame, blocks: list[tuple[int, int]], combos: list[tuple[int, ...]]) -> DataFrame:
+    """The keys that more than one fingerprint has; they are counted before the shuffle."""
+    keys = block_keys(fps, blocks, combos)
+    shared = keys.groupBy("combo", "key").count().where("count > 1").select("combo", "key")
+    return keys.join(shared, ["combo", "key"])
 
 
-def _links(fps: DataFrame, blocks: list[tuple[int, int]], combos: list[tuple[int, ...]], distance: int) -> DataFrame:
-    """Links by some choices of blocks.
+def across(held: DataFrame, blocks: list[tuple[int, int]], distance: int) -> DataFrame:
+    """Links between fingerprints that have a key in common and different roots.
 
-    A key held by one fingerprint alone is dropped before the join; that count is combined before
-    its shuffle. The join's condition verifies the distance, and that the key is of the first blocks
-    the pair has in common, so each link leaves it once and nothing else does.
+    The join's condition verifies the distance, and that the key is of the first blocks the pair has
+    in common, so each link leaves it once and nothing else does.
     """
-    keys = block_keys(fps, blocks, combos)
-    shared = keys.groupBy("combo", "key").count().where("count > 1").select("combo", "key")
-    held = keys.join(shared, ["combo", "key"])
     a, b = held.alias("a"), held.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    near = F.bit_count(differ) <= distance
     same = F.lit(0)
     for i, (at, n) in enumerate(blocks):
         same = same + F.when(bits(differ, at, n) == 0, 1 << i).otherwise(0)
@@ -120,14 +151,20 @@ def _links(fps: DataFrame, blocks: list[tuple[int, int]], combos: list[tuple[int
         (F.col("a.combo") == F.col("b.combo"))
         & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.fp") < F.col("b.fp"))
-        & near
+        & (F.col("a.root") != F.col("b.root"))
+        & near("a.fp", "b.fp", distance)
         & (same.bitwiseAND(reach) == F.col("a.combo")),
     )
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, agree: int = 3
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 3,
+    distance: int = 3,
+    agree: int | None = None,
 ) -> DataFrame:
     """``(id, fp, component)`` per row: component is the smallest id that links reach.
 
@@ -139,10 +176,13 @@ def near_duplicates(
     """
     fp = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), distance, agree))
+    found = links(nodes.select("fp"), distance, agree)
+    roots = connected_components(found)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    names = rooted.select("fp", "root").join(named, "root").select("fp", "component")
+    names = materialize(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "names")
+    for done in (nodes, found):
+        release(done)
     return fp.join(names, "fp").select("id", "fp", "component")
