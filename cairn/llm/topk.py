@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,35 +14,50 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, release
 
-BITS = 64
+WORD = 64
 
 
-def sign_code(vec: Column) -> Column:
-    """64 sign bits: bit j is 1 if the sum of components j, j + 64, ... is over 0 (null and NaN: 0)."""
-    value = lambda i: F.coalesce(F.nanvl(F.get(vec, i).cast("double"), F.lit(0.0)), F.lit(0.0))
-    folded = lambda j: F.aggregate(
-        F.sequence(j, F.size(vec) - 1, F.lit(BITS)), F.lit(0.0), lambda a, i: a + value(i)
-    )
-    bit = lambda j: F.when(F.when(F.size(vec) <= BITS, value(j)).otherwise(folded(j)) > 0, 1).otherwise(0)
-    places = F.sequence(F.lit(0), F.least(F.size(vec), F.lit(BITS)) - 1)
-    code = F.aggregate(
-        places,
-        F.lit(0).cast("bigint"),
-        lambda a, j: a.bitwiseOR(F.call_function("shiftleft", bit(j).cast("bigint"), j)),
-    )
-    return F.when(F.size(vec) > 0, code)
+def sign_words(vec: Column, bits: int) -> Column:
+    """Sign bits, 64 to a word: bit j of the code is 1 if component j is over 0 (null, NaN, none: 0)."""
+    value = lambda j: F.coalesce(F.nanvl(F.get(vec, j).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    def word(first: int) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(min(WORD, bits - first) - 1)),
+            F.lit(0).cast("bigint"),
+            lambda a, j: a.bitwiseOR(
+                F.call_function("shiftleft", F.when(value(j + first) > 0, 1).otherwise(0).cast("bigint"), j)
+            ),
+        )
+
+    return F.when(F.size(vec) > 0, F.array(*[word(i) for i in range(0, bits, WORD)]))
+
+
+def hamming(a: Column, b: Column, bits: int) -> Column:
+    words = range(-(-bits // WORD))
+    return reduce(add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in words])
+
+
+def segment(code: Column, at: int, width: int) -> Column:
+    """``width`` bits of a code from bit ``at``, which may lie in two words."""
+    i, shift = divmod(at, WORD)
+    part = F.shiftrightunsigned(F.get(code, F.lit(i)), shift)
+    if shift + width > WORD:
+        part = part.bitwiseOR(F.shiftleft(F.get(code, F.lit(i + 1)), WORD - shift))
+    return part.bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
 def reach(width: int, radii: list[int]) -> Column:
     """All differences of ``width`` bits that are exactly so large."""
-    return F.lit([m for m in range(1 << width) if m.bit_count() in radii]).cast("array<int>")
+    masks = [sum(1 << i for i in flipped) for r in radii for flipped in combinations(range(width), r)]
+    return F.lit(masks).cast("array<int>")
 
 
-def segment_cuts(n: int) -> list[tuple[int, int]]:
+def segment_cuts(n: int, bits: int) -> list[tuple[int, int]]:
     """(offset, width) of each segment. A key has about eight entries: meeting one costs less than
     asking for another key. Below 13 bits the radii would grow in too coarse steps."""
-    m = BITS // max(13, round(math.log2(max(2, n))) - 3) + 1
-    at = [BITS * i // m for i in range(m + 1)]
+    m = bits // max(13, round(math.log2(max(2, n))) - 3) + 1
+    at = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
@@ -73,11 +91,15 @@ def nearest(
     Returns ``(query_id, rank, id, distance)``; ties go to the smaller id. Radii grow segment by
     segment for the queries whose k-th verified distance is not yet covered, so the answer is
     exact. Copies of a code are one entry with its k + 1 smallest ids, which is all any query can
-    need of them. Rows with a null id or a null or empty vector are neither found nor asked for;
-    repeated rows count once; a query with fewer than k other rows gets those; an empty table gives
-    no row. Other columns are ignored.
+    need of them. Codes have as many bits as the longest vector has components; a shorter one's
+    missing components count as not over 0. Rows with a null id or a null or empty vector are neither
+    found nor asked for; repeated rows count once, and an id with several vectors once for each; a
+    query with fewer than k other rows gets those; an empty table gives no row. Other columns are
+    ignored, whatever their names.
     """
-    coded = materialize(_coded(rows, id_col, vec_col), "codes")
+    longest = rows.select(F.size(vec_col).alias("n")).unionByName(queries.select(F.size(vec_col).alias("n")))
+    bits = max(1, longest.agg(F.max("n")).first()[0] or 0)
+    coded = materialize(_coded(rows, id_col, vec_col, bits), "codes")
     by_code = W.partitionBy("code").orderBy("id")
     index = materialize(
         coded.withColumn("n", F.row_number().over(by_code))
@@ -86,14 +108,15 @@ def nearest(
         .agg(F.sort_array(F.collect_list("id")).alias("ids")),
         "index",
     )
-    asked = materialize(_coded(queries, id_col, vec_col), "queries")
+    asked = materialize(_coded(queries, id_col, vec_col, bits), "queries")
     # Each query also has a row without a code, which carries its bound from step to step.
-    marker = "code AS q", "cast(null AS bigint) AS code", "0 AS n", "cast(null AS bigint) AS least", "-1 AS distance"
-    found = materialize(asked.select("code").distinct().selectExpr(*marker, f"{BITS} AS bound"), "found")
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    marker = "code AS q", "cast(null AS array<bigint>) AS code", "0 AS n", f"cast(null AS {kind}) AS least", "-1 AS distance"
+    found = materialize(asked.select("code").distinct().selectExpr(*marker, f"{bits} AS bound"), "found")
     active = found
-    cuts = segment_cuts(index.count())
+    cuts = segment_cuts(index.count(), bits)
     segments, widest = len(cuts), max(w for _, w in cuts)
-    part = lambda j: F.shiftrightunsigned("code", cuts[j][0]).bitwiseAND(F.lit((1 << cuts[j][1]) - 1)).cast("int")
+    part = lambda j: segment(F.col("code"), *cuts[j])
     entries = index.select(
         "code",
         F.size("ids").alias("n"),
@@ -118,7 +141,7 @@ def nearest(
             .select("q", "bound", "s.seg", "s.own", F.explode("s.reach").alias("mask"))
             .select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
         )
-        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        distance = hamming(F.col("q"), F.col("code"), bits)
         # the planner takes exploded probes for as few as the queries and would broadcast them
         near = entries.where(F.col("seg").isin(segs)).hint("merge")
         met = probes.join(
@@ -133,15 +156,16 @@ def nearest(
         new = materialize(
             top.drop("place")
             .withColumn("so_far", so_far)
-            .withColumn("bound", F.coalesce(kth, F.lit(BITS)))
+            .withColumn("bound", F.coalesce(kth, F.lit(bits)))
             .drop("so_far"),
             "found",
         )
         release(found)
         found = new
         active = found.where(F.col("code").isNull() & (F.col("bound") > covered))
-        if covered >= BITS or active.isEmpty():
+        if covered >= bits or active.isEmpty():
             break
+    release(coded)
     answers = found.where("code IS NOT NULL").select("q", "code", "distance").join(index, "code").select(
         "q", "distance", F.explode("ids").alias("id")
     )
@@ -156,8 +180,8 @@ def nearest(
     )
 
 
-def _coded(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    coded = rows.select(F.col(id_col).alias("id"), sign_code(F.col(vec_col)).alias("code"))
+def _coded(rows: DataFrame, id_col: str, vec_col: str, bits: int) -> DataFrame:
+    coded = rows.select(F.col(id_col).alias("id"), sign_words(F.col(vec_col), bits).alias("code"))
     return coded.where("id IS NOT NULL AND code IS NOT NULL").distinct()
 
 
