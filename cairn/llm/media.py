@@ -124,10 +124,10 @@ def mux(payloads: list[bytes]) -> list[bytes]:
 def parse_section(packet: bytes, table: int) -> bytes:
     """The body of the table section in a packet; its checksum must hold."""
     at = 4 + (packet[4] + 1 if packet[3] & 0x20 else 0)
-    at += packet[at] + 1
-    size = struct.unpack_from(">H", packet, at + 1)[0] & 0xFFF
+    at += packet[at] + 1 if at < PACKET else 0
+    size = struct.unpack_from(">H", packet, at + 1)[0] & 0xFFF if at + 3 <= PACKET else 0
     data = packet[at : at + 3 + size]
-    if data[0] != table or crc32_mpeg(data) != 0:
+    if size < 9 or len(data) != 3 + size or data[0] != table or crc32_mpeg(data) != 0:
         raise ValueError("broken program table")
     return data[8:-4]
 
@@ -135,15 +135,17 @@ def parse_section(packet: bytes, table: int) -> bytes:
 @lru_cache(64)
 def programs(packet: bytes) -> dict[int, int]:
     body = parse_section(packet, 0x00)
-    return {n: pid & 0x1FFF for n, pid in struct.iter_unpack(">HH", body) if n}
+    return {n: pid & 0x1FFF for n, pid in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]) if n}
 
 
 @lru_cache(64)
 def streams(packet: bytes) -> list[tuple[int, int]]:
     """(stream type, PID) of each elementary stream."""
     body, found = parse_section(packet, 0x02), []
+    if len(body) < 4:
+        raise ValueError("broken program table")
     at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
-    while at < len(body):
+    while at + 5 <= len(body):
         kind, pid, info = struct.unpack_from(">BHH", body, at)
         found.append((kind, pid & 0x1FFF))
         at += 5 + (info & 0xFFF)
@@ -156,9 +158,17 @@ def data_pid(media: bytes, pids: np.ndarray) -> int:
     if not len(pats):
         raise ValueError("no program association table")
     at = int(pats[0]) * PACKET
-    pmt_pid = programs(media[at : at + PACKET])[PROGRAM]
-    at = int(np.flatnonzero(pids == pmt_pid)[0]) * PACKET
-    return streams(media[at : at + PACKET])[0][1]
+    named = programs(media[at : at + PACKET])
+    if not named:
+        raise ValueError("no program")
+    maps = np.flatnonzero(pids == named[min(named)])
+    if not len(maps):
+        raise ValueError("no program map table")
+    at = int(maps[0]) * PACKET
+    found = streams(media[at : at + PACKET])
+    if not found:
+        raise ValueError("no elementary stream")
+    return found[0][1]
 
 
 def demux(media: list[bytes]) -> list[dict]:
@@ -171,6 +181,8 @@ def demux(media: list[bytes]) -> list[dict]:
     rows = np.array([len(m) for m in media]) // PACKET
     if any(len(m) % PACKET or not m for m in media):
         raise ValueError("not a whole number of packets")
+    if not media:
+        return []
     p = np.frombuffer(b"".join(media), np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != SYNC).any():
         raise ValueError("lost synchronisation")
@@ -180,6 +192,8 @@ def demux(media: list[bytes]) -> list[dict]:
     doc = np.repeat(np.arange(len(media)), rows)
     own = np.flatnonzero(pid == wanted[doc])
     p, doc = p[own], doc[own]
+    if len(np.unique(doc)) < len(media):
+        raise ValueError("no packet of the elementary stream")
     place = own - starts[doc]
     counter = p[:, 3].astype(np.int32) & 15
     same = np.r_[False, doc[1:] == doc[:-1]]
@@ -191,15 +205,22 @@ def demux(media: list[bytes]) -> list[dict]:
     adapt = np.where(p[:, 3] & 0x20, p[:, 4].astype(np.int32) + 1, 0)
     load = 184 - adapt
     begins = np.flatnonzero(p[:, 1] & 0x40)
+    opened = np.r_[True, doc[1:] != doc[:-1]]
+    if (load < 0).any() or not (p[opened, 1] & 0x40).all():
+        raise ValueError("broken elementary packet")
     stream = p[np.arange(PACKET) >= (PACKET - load)[:, None]]
     at = first_of(load)[begins]
     size = np.diff(np.r_[at, len(stream)])
     s = stream.astype(np.int64, copy=False) if len(stream) < 1 << 16 else stream
     b = lambda i: s[at + i].astype(np.int64)
+    if (size < HEADER).any():
+        raise ValueError("broken elementary packet")
     if (b(0) | b(1)).any() or (b(2) != 1).any() or (b(4) * 256 + b(5) + 6 != size).any():
         raise ValueError("broken elementary packet")
     times = (b(9) & 0x0E) << 29 | b(10) << 22 | (b(11) & 0xFE) << 14 | b(12) << 7 | b(13) >> 1
     head = 9 + b(8)
+    if (head > size).any():
+        raise ValueError("broken elementary packet")
     edge = np.zeros(len(stream) + 1, np.int8)
     edge[at + head] += 1
     edge[np.r_[at[1:], len(stream)]] -= 1
@@ -217,6 +238,24 @@ def demux(media: list[bytes]) -> list[dict]:
     return out
 
 
+def demuxed(media: list[bytes | None]) -> list[dict]:
+    """The same, for each stream by itself where one of them is broken; that one has an ``error``."""
+    try:
+        if all(media):
+            return [r | {"error": None} for r in demux(media)]
+    except ValueError:
+        pass
+    out = []
+    for m in media:
+        try:
+            out.append(demux([m or b""])[0] | {"error": None})
+        except ValueError as e:
+            none = np.empty(0, np.int64)
+            packets = len(m or b"") // PACKET
+            out.append({"payload": b"", "times": none, "packets": packets, "errors": 0, "points": none, "error": str(e)})
+    return out
+
+
 def pad(text: bytes) -> bytes:
     """Zeros up to a positive multiple of 64."""
     return text.ljust(max(ALIGN, -(-len(text) // ALIGN) * ALIGN), b"\0")
@@ -255,13 +294,17 @@ def read_media(media: DataFrame) -> DataFrame:
     """Read ``(id, n_bytes, media)`` back.
 
     Gives the payload's and the media's digests, presentation times in 90 kHz ticks, the packet
-    numbers of random-access points, and counts of packets and continuity errors.
+    numbers of random-access points, and counts of packets and continuity errors. ``error`` says why
+    a stream cannot be read, null where it can; its payload then counts as empty, and no other row is
+    touched by it. Null media are such a stream. Ids are passed on as they are, null or repeated;
+    other columns are ignored, whatever their names; an empty table gives no row.
     """
     kind = media.schema["id"].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         stored = [m.as_py() for m in batch.column(2)]
-        read = [r for a, z in groups(stored) for r in demux(stored[a:z])]
+        read = [r for a, z in groups([m or b"" for m in stored]) for r in demuxed(stored[a:z])]
+        stored = [m or b"" for m in stored]
         longs = pa.list_(pa.int64())
         cols = [
             batch.column(0),
@@ -275,12 +318,13 @@ def read_media(media: DataFrame) -> DataFrame:
             pa.array([r["points"] for r in read], longs),
             pa.array([r["packets"] for r in read], pa.int64()),
             pa.array([r["errors"] for r in read], pa.int64()),
+            pa.array([r["error"] for r in read], pa.string()),
         ]
-        names = "id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 times points packets errors"
+        names = "id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 times points packets errors error"
         return pa.RecordBatch.from_arrays(cols, names.split())
 
     schema = (
         f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint,"
-        " media_sha256 string, times array<bigint>, points array<bigint>, packets bigint, errors bigint"
+        " media_sha256 string, times array<bigint>, points array<bigint>, packets bigint, errors bigint, error string"
     )
     return map_batches(media.select("id", "n_bytes", "media"), one, schema)
