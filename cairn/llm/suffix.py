@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.chunks import runs
-from cairn.llm.common import map_arrow, map_batches, materialize, release
+from cairn.llm.common import map_arrow, map_batches, materialize, release, setting
 
 #: Items that one task orders together, on average, and most that one anchor may bring to a task.
 ITEMS = 40_000
-MOST_ITEMS = 100_000
+MOST_ITEMS = 40_000
 #: Bytes of text scanned for anchors together.
 TOGETHER = 1 << 20
 ODD = 0x9E3779B97F4A7C15
@@ -265,8 +265,10 @@ def repeats(before: list[bytes], after: list[bytes], length: int, k: int) -> np.
     right, left = matrix(after, wide), matrix([b[::-1] for b in before], high)
     right_size, left_size = np.array([len(x) for x in after]), np.array([len(x) for x in before])
     right_words = numbered(right, k)
-    right_order = ordered(right_words)
-    left_order = ordered(np.hstack([right_words[:, :1], numbered(left, k)]))
+    # Rows are filled up with zeros, which a text may hold too: of rows that are equal but for their
+    # sizes the shorter comes first, so it never stands between two that have more in common.
+    right_order = ordered(np.hstack([right_words, right_size[:, None]]))
+    left_order = ordered(np.hstack([right_words[:, :1], numbered(left, k), left_size[:, None]]))
     anchor = right_words[:, 0]
 
     def shared(rows, sizes, order):
@@ -353,7 +355,6 @@ def covered(size: int, places: list[dict], length: int, k: int) -> np.ndarray:
 def repeated(docs: DataFrame, text_col: str, length: int, most_items: int) -> tuple[DataFrame, list[DataFrame]]:
     """``(key, places)`` for each distinct text with repeated strings; keys are ``text_key``'s."""
     spark, k = docs.sparkSession, length // 4
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     picked = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where(
         F.octet_length("text") >= length
     )
@@ -409,10 +410,13 @@ def remove_repeats(
     Each byte is removed that a string of ``length`` bytes covers which also begins anywhere else,
     in the same text or another row's; ``kept`` is the rest. Null text counts as empty. A text
     shorter than ``length`` keeps all; one that stands in several rows loses all in each. A null id
-    stays null; an empty table gives no row.
+    stays null; an empty table gives no row. Columns of any name ride along in ``row``. An anchor with
+    more than ``most_items`` different contexts would be too much for one task, so its strings are
+    dealt out over all and counted there.
     """
     k, kind = length // 4, docs.schema[id_col].dataType.simpleString()
-    found, used = repeated(docs, text_col, length, most_items)
+    with setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        found, used = repeated(docs, text_col, length, most_items)
     for df in used:
         release(df)
     row = [F.struct(*docs.columns).alias("row")] * keep_row
