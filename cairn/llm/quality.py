@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import map_batches
 from cairn.llm.language import held_out, sampled
 
-#: Labelled rows to learn from, on average, at most.
+#: Labelled rows to learn from at most, about.
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES, RIDGE = 60, 30, 0.15, 4, 1.0
@@ -205,19 +205,25 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Fit on labelled rows that are not held out, ``SAMPLE_ROWS`` of them at most on average.
+    """Fit on labelled rows that are not held out, about ``sample_rows`` of them at most.
 
-    Labels of one id are averaged, 0.5 counting as 1; null ids and labels teach nothing. Only the
-    features of the sample come to the driver.
+    Labels of one id are averaged, 0.5 counting as 1; null ids and labels teach nothing. An id that
+    stands on several documents labels each. Without a labelled document every score is one half.
+    Only the features of the sample come to the driver.
     """
     marked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
         .groupBy(F.col(id_col).alias("id"))
         .agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     )
-    chosen = sampled(marked, "id", SAMPLE_ROWS)
+    chosen = sampled(marked, "id", sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample is bounded, so each task can hold its ids.
     got = described(texts.join(F.broadcast(chosen), "id", "left_semi"), "id", "text").join(F.broadcast(chosen), "id")
