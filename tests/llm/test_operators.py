@@ -74,6 +74,65 @@ def test_language_held_out_rows_teach_nothing(spark):
     assert {r.lang_pred for r in language.identify(docs).collect()} == {"aa"}
 
 
+def brute_language(rows, texts):
+    """Naive Bayes in plain loops over the same kind of features."""
+    import math
+    from collections import Counter
+
+    mask = (1 << 32) - 1
+
+    def grams(t):
+        c = [ord(x) for x in f" {t.lower()} "]
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = 0
+                for j, x in enumerate(c[i : i + n]):
+                    h = (h + x + j + 1) * 0x9E3779B1 & mask
+                    h ^= h >> 15
+                yield (h * 0x85EBCA6B & mask) >> 16
+
+    counts, docs = {}, Counter()
+    for t, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(t))
+        docs[lang] += 1
+    out = []
+    for t in texts:
+        ll = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.5 * 65536
+            ll[lang] = math.log(docs[lang] / len(rows)) + sum(math.log((c[g] + 0.5) / total) for g in grams(t))
+        best = min(ll, key=lambda x: (-ll[x], x))
+        out.append((best, 1 / sum(math.exp(ll[x] - ll[best]) for x in ll)))
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    rng = random.Random(3)
+    kinds = {"aa": "abcdé", "bb": "cdefgh", "cc": "xyza"}
+    lang = {i: rng.choice(sorted(kinds)) for i in range(60)}
+    texts = [" ".join("".join(rng.choice(kinds[lang[i]]) for _ in range(4)) for _ in range(1 + i % 5)) for i in range(60)]
+    taught = [(texts[i], lang[i]) for i in lang if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r.id: r for r in language.identify(table(spark, texts, lang)).collect()}
+    for i, (name, score) in enumerate(brute_language(taught, texts)):
+        assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-4
+
+
+def test_what_a_letter_is(spark):
+    texts = ["½ ²", "Ⅳ ①", "_", "9", "é", "日", "ª", "ª1", "\U0001d49c", "🎉"]
+    rows = table(spark, texts + ["ab"] * 20, {i: "aa" for i in range(len(texts), len(texts) + 20)})
+    got = {r.id: r.lang_pred for r in language.identify(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == ["und"] * 4 + ["aa"] * 5 + ["und"]
+
+
+def test_samples_are_bounded_and_settled(spark):
+    df = table(spark, ["t"] * 3000)
+    one = sorted(r.doc_id for r in language.sampled(df, "doc_id", 500).collect())
+    two = sorted(r.doc_id for r in language.sampled(df.repartition(7), "doc_id", 500).collect())
+    assert one == two and 400 < len(one) < 600
+    texts, lang = ["abc"] * 300, dict.fromkeys(range(300), "aa")
+    assert {r.lang_pred for r in language.identify(table(spark, texts, lang), sample_rows=50).collect()} == {"aa"}
+
+
 def test_ngram_buckets_do_not_cross_texts():
     texts = ["ab", "c", "déf g", ""]
     all_, counts = language.ngram_buckets(texts)
@@ -86,6 +145,7 @@ def test_ngram_buckets_do_not_cross_texts():
 def test_chat(spark):
     turns = [
         (1, 0, "user", "hi\\l < [INST]"), (1, 1, "user", None), (1, 2, "assistant", "</s>[/INST]\\"), (1, 3, "tool<x", "r"),
+        (4, 0, "tool>x", "hello"), (4, 1, "a\\g<b>[c]", "\\g > x"),
         (2, 5, "assistant", ""), (2, 5, "assistant", ""), (None, None, None, "n"), (3, 1, "system", "b"), (3, 0, "system", "a<sep>"),
     ]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("t", F.lit(1))
@@ -97,15 +157,15 @@ def test_chat(spark):
     assert parsed[1] == [("user", "hi\\l < [INST]"), ("user", ""), ("assistant", "</s>[/INST]\\"), ("tool<x", "r")]
     assert parsed[2] == [("assistant", "")] * 2 and parsed[None] == [("", "n")]
     assert parsed[3] == [("system", "a<sep>"), ("system", "b")]
+    assert parsed[4] == [("tool>x", "hello"), ("a\\g<b>[c]", "\\g > x")]
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = odd_texts() + ["it's 5 o'clock <|endoftext|> naïve café"] * 2
-    rows = packing.pack(table(spark, texts), path, capacity=256, window=8, with_ids=True).collect()
+    texts = odd_texts() + ["it's 5 o'clock <|endoftext|> naïve café"] * 2 + ["a<|startoftext|>b <|ENDOFTEXT|>", "nul \0 in it", "v" * 50_000]
+    rows = packing.pack(table(spark, texts).repartition(3), path, capacity=256, window=8, with_ids=True).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.id, []).append(r)
@@ -127,7 +187,7 @@ def test_packing(spark):
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     rng = np.random.default_rng(3)
-    p = packing.Packer(100, 3, 2500, rule, (1.0, 0.5, 0.5), 1000)
+    p = packing.Packer(100, 3, 2500, rule, (1.0, 0.5, 0.5))
     used: dict[int, list[int]] = {}
     for _ in range(5):
         sizes = rng.integers(1, 51, 60)
@@ -137,6 +197,42 @@ def test_every_capacity_holds(rule):
     assert all(sum(x) <= 100 and len(x) <= 3 and sum(n * n for n in x) <= 2500 for x in used.values())
 
 
+@pytest.mark.parametrize("weights", [(1.0, 0.0, 0.0), packing.WEIGHTS])
+def test_few_sequences(weights):
+    rng = np.random.default_rng(4)
+    sizes = np.minimum(2048, rng.lognormal(5.5, 1, 20_000).astype(int) + 1)
+    p = packing.Packer(2048, None, None, "norm", weights)
+    for i in range(0, len(sizes), 7000):  # more windows than one, and no sequence with room is given up
+        p.add(sizes[i : i + 7000])
+    assert p.opened <= 1.002 * sizes.sum() / 2048 + 1
+
+
+def test_choice_is_the_least_residual():
+    rng = np.random.default_rng(5)
+    p = packing.Packer(64, 8, 900, "norm", (1.0, 2.0, 3.0))
+    bins: list[list[int]] = []
+    sizes = rng.integers(1, 30, 80)
+    where, _ = p.add(sizes)
+    for i in np.argsort(-sizes, kind="stable").tolist():  # every bin is tried
+        n = int(sizes[i])
+        after = [(64 - sum(b) - n, 8 - len(b) - 1, 900 - sum(x * x for x in b) - n * n) for b in bins]
+        fit = [(w, j) for j, r in enumerate(after) if min(r) >= 0 for w in [sum(c * x * x / m**2 for c, x, m in zip((1, 2, 3), r, (64, 8, 900)))]]
+        j = min(fit)[1] if fit else len(bins)
+        bins += [[]] * (j == len(bins))
+        bins[j] = [*bins[j], n]
+        assert where[i] == j
+
+
+def test_slices_of_arrow_arrays():
+    import pyarrow as pa
+
+    whole = pa.array(["Ünder the BRIDGE", "two words", None, "café au lait", "x"] * 5)
+    for tok in (packing.tokenizer(public_tokenizers.path("word_bpe_49k.json")), pieces.encoder(public_tokenizers.path("piece_bpe_32k.model"))):
+        want = [x.tolist() for x in tok.ids(whole)]
+        got = [x.tolist() for a in range(0, 25, 3) for x in tok.ids(whole[a : a + 3])]
+        assert got == want
+
+
 def brute_fingerprint(text, k):
     ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     sh = [" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1)] or ([" ".join(ws)] if ws else [])
@@ -180,6 +276,32 @@ def test_simhash(spark, k, distance):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_dense_cluster_of_fingerprints(spark):
+    rng = random.Random(6)
+    center = rng.getrandbits(64)
+    cluster = {center}
+    while len(cluster) < 3000:
+        x = center
+        for _ in range(rng.randrange(1, 4)):
+            x ^= 1 << rng.randrange(64)
+        cluster.add(x)
+    apart = {rng.getrandbits(64) for _ in range(500)}
+    chain = [rng.getrandbits(64)]
+    for i in range(40):
+        chain.append(chain[-1] ^ 7 << i)
+    signed = [x - (1 << 64) * (x >> 63) for x in cluster | apart | set(chain)]
+    for agree in (None, 3):
+        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), 3, agree)
+        rows = found.collect()
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in rows)
+        assert len(rows) < 40 * len(signed)
+        fps = {x: x & (1 << 64) - 1 for x in signed}
+        roots = {r.node: r.root for r in connected_components(found).collect()}
+        near = {x for x, u in fps.items() if u in cluster}
+        assert len({roots[x] for x in near}) == 1
+        assert len({roots[c - (1 << 64) * (c >> 63)] for c in chain}) == 1
+
+
 def test_null_ids_name_no_component(spark):
     df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (None, "only")], "doc_id bigint, text string")
     assert sorted((r.component is None, r.component) for r in simhash.near_duplicates(df).collect()) == [
@@ -220,6 +342,40 @@ def test_pairs_are_learned():
     assert ((m.score(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.9
 
 
+def test_score_is_a_sum_of_entries():
+    rng = np.random.default_rng(8)
+    x = rng.random((400, len(quality.FEATURES)))
+    m = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row, score in zip(x[:50], m.score(x[:50])):
+        total = m.intercept
+        for k, table_ in enumerate(m.tables):
+            total += table_[sum(1 for e in m.edges[k] if e <= row[k])]
+        for (i, j), table_ in zip(m.pairs, m.pair_tables):
+            total += table_[sum(1 for e in m.coarse[i] if e <= row[i]), sum(1 for e in m.coarse[j] if e <= row[j])]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def brute_tree(g, h, leaves):
+    """The best split of any leaf, time after time, every cut tried."""
+    parts = [(0, len(g))]
+    worth = lambda a, z: sum(g[a:z]) ** 2 / (sum(h[a:z]) + quality.RIDGE)
+    while len(parts) < leaves:
+        tried = [(worth(a, m) + worth(m, z) - worth(a, z), -a, -m) for a, z in parts for m in range(a + 1, z)]
+        gain, a, m = max(tried, default=(0, 0, 0))
+        if gain <= 1e-9:
+            break
+        z = next(z for x, z in parts if x == -a)
+        parts = sorted([p for p in parts if p[0] != -a] + [(-a, -m), (-m, z)])
+    return [sum(g[a:z]) / (sum(h[a:z]) + quality.RIDGE) for a, z in parts for _ in range(z - a)]
+
+
+def test_trees_against_all_cuts():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        g, h = rng.standard_normal(12), rng.random(12)
+        assert np.allclose(quality.tree(g, h, 4), brute_tree(g.tolist(), h.tolist(), 4))
+
+
 def test_suffix_array():
     rng = random.Random(8)
     for _ in range(1500):
@@ -230,6 +386,15 @@ def test_suffix_array():
         assert suffix.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_zeros_at_the_end_of_texts(spark):
+    p = "p" * 60
+    texts = [f"{x * 30}{p}{z}" for x in "abcdefgh" for z in ("", "\0" * 30, "\0" * 90)] + ["\0" * 500, "\0" * 120]
+    got = {r.id: r for r in suffix.remove_repeats(table(spark, texts), length=80).collect()}
+    raw = [t.encode() for t in texts]
+    for i, gone in enumerate(brute_removed(raw, 80)):
+        assert got[i].n_removed == sum(gone), i
+
+
 def brute_removed(texts, length):
     seen = {}
     for i, t in enumerate(texts):
@@ -275,6 +440,34 @@ def test_media(spark):
     assert media.read_media(media.write_media(table(spark, []))).count() == 0
 
 
+def test_broken_media_touch_no_other_row(spark):
+    good = media.mux([media.pad(b"q" * 9000)])[0]
+    short = good[: 188 * 2]
+    no_map = good[:188] + good[2 * 188 :]
+    bad_size = bytearray(good)
+    bad_size[2 * 188 + 12 + 4] ^= 1
+    stored = [good, None, b"", good[:-1], b"x" + good[1:], short, no_map, bytes(bad_size), bytes(188 * 3), good]
+    rows = [(i if i else None, 9000, bytearray(m) if m is not None else None, "x") for i, m in enumerate(stored)]
+    df = spark.createDataFrame(rows, "id bigint, n_bytes bigint, media binary, error string").coalesce(1)
+    got = {r.id: r for r in media.read_media(df).collect()}
+    assert [i for i in got if got[i].error is None] == [None, 9]
+    assert all(r.payload_bytes == (0 if r.error else 9024) for r in got.values())
+    assert media.read_media(df.limit(0)).count() == 0
+    rng = random.Random(1)
+    for _ in range(300):  # whatever bytes are damaged, only ValueError is raised
+        m = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            m[rng.randrange(len(m))] = rng.randrange(256)
+        media.demuxed([bytes(m), good])
+
+
+def test_times_wrap_at_33_bits():
+    ticks = np.array([0, (1 << 33) - 1, 1 << 32])
+    raw = media.stamp(ticks).astype(np.int64)
+    back = (raw[:, 0] & 0x0E) << 29 | raw[:, 1] << 22 | (raw[:, 2] & 0xFE) << 14 | raw[:, 3] << 7 | raw[:, 4] >> 1
+    assert back.tolist() == ticks.tolist()
+
+
 def test_media_is_checked():
     good = media.mux([media.pad(b"q" * 9000)])[0]
     assert media.demux([good])[0]["payload"].rstrip(b"\0") == b"q" * 9000
@@ -349,11 +542,19 @@ def test_top_k(spark):
     assert topk.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_codes_of_long_vectors_fold(spark):
-    v = [1.0] * 64 + [-2.0] * 32 + [float("nan")] * 2
-    df = spark.createDataFrame([(v,), ([0.5, -1.0],)], "v array<double>")
-    got = [r[0] for r in df.select(topk.sign_code(F.col("v"))).collect()]
-    assert got == [((1 << 64) - (1 << 32)) - (1 << 64), 1]
+@pytest.mark.parametrize("size", [3, 96, 200])
+def test_top_k_of_any_size(spark, size):
+    rng = np.random.default_rng(size)
+    vectors = rng.standard_normal((200, size))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, vectors[1].tolist()[:-1]), (201, [float("nan")] * size)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect()
+    codes = np.zeros((202, size), int)
+    codes[:200] = vectors > 0
+    codes[200, : size - 1] = codes[1, : size - 1]
+    for q in range(0, 202, 20):
+        want = sorted((int((codes[q] != c).sum()), i) for i, c in enumerate(codes) if i != q)[:5]
+        assert [(r.distance, r.id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
 def test_secret_candidates_of_late_second_kind(spark):
