@@ -38,9 +38,8 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [h(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :])]
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Bit i is 1 if it is set in over half of the hashes; no word, no bit."""
-    hashes = np.array(shingle_hashes(text, words), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; no hash, no bit."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -50,6 +49,11 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """The majority of the hashes of a text's shingles, repeats included."""
+    return majority(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``(id, fp)`` per row, fp as a signed 64-bit integer. Null text has no word: zero."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,10 +1,12 @@
-"""Near-duplicates by the true similarity of shingle sets: every pair at or above a bound is linked.
-
-A prefix filter finds the candidates. In any order of all shingles, two sets of Jaccard similarity
-``t`` or more share one of the first ``n - ceil(t n) + 1`` shingles of each. The order puts common
-shingles last, then goes by hash; a sample decides which are common, which moves the cost and never
-the result. Candidates are verified on the whole sets. Nothing is sampled, capped or left to chance
-but that shingles and sets are known by 64-bit hashes.
+"""Near-duplicates by SimHash, made whole: every pair of shingle sets at or above a similarity is linked.
+
+SimHash blocks bring together the texts whose fingerprints are close, which is most of what belongs
+together; each candidate is verified on the whole sets. No Hamming distance that tells texts apart
+finds all pairs at a similarity of 0.8, so a prefix filter finds the rest, among texts that SimHash
+has not joined already: in any order of all shingles, two sets of Jaccard similarity ``t`` or more
+share one of the first ``n - ceil(t n) + 1`` shingles of each. The order puts common shingles last,
+then goes by hash; a sample decides which are common, which moves the cost and never the result.
+Nothing is sampled, capped or left to chance but that shingles and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import connected_components, map_arrow, map_batches, materialize, release
-from cairn.llm.simhash import SEED, shingle_hashes
+from cairn.llm.simhash import SEED, majority, shingle_hashes
+from cairn.llm.simhash import links as close_fingerprints
 
 LEAST = Fraction(4, 5)
+#: Bits in which fingerprints may differ that SimHash brings together.
+DISTANCE = 3
 #: One text of so many tells which shingles are common: those in ``COMMON`` or more sampled texts.
 SAMPLED, COMMON = 8, 3
 #: Words of 64 parities each in a set's sketch.
@@ -71,11 +76,14 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def marks(rows: DataFrame, words: int, least: Fraction, kind: str) -> DataFrame:
-    """``(id, h, node, n, sketch, wide, prefix)`` per row of ``(id, h, text)``; ``node`` names a shingle set."""
+    """``(id, h, node, fp, n, sketch, wide, prefix)`` per row of ``(id, h, text)``; ``node`` names a
+    shingle set, ``fp`` is the fingerprint."""
     common, counts = common_shingles(rows, words)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py(), words) for t in batch.column(2).cast(pa.large_binary())]
+        hashes = [np.array(shingle_hashes(t.as_py() or b"", words), np.uint64) for t in batch.column(2).cast(pa.large_binary())]
+        fps = np.array([majority(x) for x in hashes], np.uint64)
+        sets = list(map(np.unique, hashes))
         names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
@@ -83,16 +91,17 @@ def marks(rows: DataFrame, words: int, least: Fraction, kind: str) -> DataFrame:
                 batch.column(0),
                 batch.column(1),
                 pa.array(names.view(np.int64)),
+                pa.array(fps.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([sketch(s) for s in sets], longs),
                 pa.array([sketch(s, WIDE) if len(s) > LARGE else s[:0].view(np.int64) for s in sets], longs),
                 pa.array([prefix(s, common, counts, least).view(np.int64) for s in sets], longs),
             ],
-            ["id", "h", "node", "n", "sketch", "wide", "prefix"],
+            ["id", "h", "node", "fp", "n", "sketch", "wide", "prefix"],
         )
 
     longs = "array<bigint>"
-    schema = f"id {kind}, h bigint, node bigint, n bigint, sketch {longs}, wide {longs}, prefix {longs}"
+    schema = f"id {kind}, h bigint, node bigint, fp bigint, n bigint, sketch {longs}, wide {longs}, prefix {longs}"
     return map_batches(rows, one, schema)
 
 
@@ -123,7 +132,10 @@ def verified(rows: DataFrame, own: DataFrame, pairs: DataFrame, words: int, leas
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared * (p + q) >= (F.size("of_a") + F.size("of_b")) * p).select("a", "b")
+    out = materialize(both.where(shared * (p + q) >= (F.size("of_a") + F.size("of_b")) * p).select("a", "b"), "links")
+    for done in (pairs, sets):
+        release(done)
+    return out
 
 
 def sets_of(rows: DataFrame, own: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -136,33 +148,61 @@ def sets_of(rows: DataFrame, own: DataFrame, nodes: DataFrame, words: int) -> Da
     of = materialize(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "texts")
     few = F.broadcast(of) if of.count() <= SMALL else of
     texts = rows.join(few, "h").select("node", "text").dropDuplicates(["node"])
-    return materialize(map_batches(texts, one, "node bigint, hashes array<bigint>"), "sets")
+    out = materialize(map_batches(texts, one, "node bigint, hashes array<bigint>"), "sets")
+    release(of)
+    return out
+
+
+def simhash_pairs(own: DataFrame, distance: int) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of nodes by fingerprints of at most ``distance`` differing bits: each
+    node with the least of its own fingerprint, and the least of fingerprints that are close."""
+    fps = materialize(own.groupBy("node").agg(F.min("fp").alias("fp")), "fingerprints")
+    least = materialize(fps.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = fps.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b")
+    found = close_fingerprints(least.select("fp"), distance)
+    x, y = (least.select(F.col("fp").alias(f"f_{k}"), F.col("least").alias(k)) for k in "ab")
+    close = found.select(F.col("a").alias("f_a"), F.col("b").alias("f_b")).join(x, "f_a").join(y, "f_b").select("a", "b")
+    out = materialize(same.unionByName(close), "candidates")
+    for done in (fps, least, found):
+        release(done)
+    return out
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and sketches leave possible."""
+    x, y = sketches.alias("x"), sketches.alias("y")
+    some = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & near("x", "y", least))
+    return near_wide(some.select("a", "b"), sketches, least)
 
 
-def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction) -> DataFrame:
+def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction, distance: int) -> DataFrame:
     """Pairs ``(a, b)`` of nodes of similarity ``least`` or more; their components are those of all such pairs.
 
-    First each node is held against the least node of each key. What that joins is one component, so
-    then only pairs of different components remain; a large group of near copies costs few pairs.
+    First come the pairs that SimHash finds, then each node is held against the least node of each key
+    of the prefix filter. What those join is one component, so then only pairs of different
+    components remain; a large group of near copies costs few pairs.
     """
+    flat = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    sketches = materialize(own.select("node", "n", "wide", *flat).dropDuplicates(["node"]), "sketches")
+    near_by = simhash_pairs(own, distance)
+    zero = verified(rows, own, possible(near_by, sketches, least), words, least)
+    release(near_by)
+    joined = materialize(connected_components(zero), "rooted")
+
     entries = own.select(F.explode("prefix").alias("key"), "node")
     shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     shared = materialize(shared.where("least <> most").select("key", "least"), "keys")
     held = materialize(entries.join(shared, "key").select("key", "node", "least").distinct(), "held")
-    nodes = held.select("node").distinct()
-    flat = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
-    sketches = materialize(
-        own.join(nodes, "node", "left_semi").select("node", "n", "wide", *flat).dropDuplicates(["node"]), "sketches"
-    )
+    x, y = (joined.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
     stars = held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    x, y = sketches.alias("x"), sketches.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & near("x", "y", least))
-    stars = near_wide(stars.select("a", "b"), sketches, least)
-    first = materialize(verified(rows, own, stars, words, least), "links")
+    apart = stars.join(x, "a", "left").join(y, "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    stars = possible(apart.select("a", "b"), sketches, least)
+    first = verified(rows, own, stars, words, least)
 
-    roots = connected_components(first)
+    roots = connected_components(zero.unionByName(first))
     nodes = sketches.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     at = materialize(held.select("key", "node").join(nodes, "node"), "rooted")
+    release(held)
     mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(at.join(mixed, "key", "left_semi").join(sketches.drop("wide"), "node"), "open")
     x, y = open_.alias("x"), open_.alias("y")
@@ -170,24 +210,35 @@ def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction) -> DataF
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near("x", "y", least))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = near_wide(rest, sketches, least)
-    both = materialize(first.unionByName(verified(rows, own, rest, words, least)), "links")
-    for done in (shared, held, sketches, at, open_):
+    both = materialize(zero.unionByName(first).unionByName(verified(rows, own, rest, words, least)), "links")
+    for done in (zero, first, joined, shared, sketches, at, open_):
         release(done)
     return both
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: Fraction = LEAST
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    least: Fraction = LEAST,
+    distance: int = DISTANCE,
 ) -> DataFrame:
     """``(id, h, root)`` per row: ``h`` is xxhash64 of the text, rows of one ``root`` are one group.
 
     Two rows are linked if the sets of their ``words``-word shingles have a Jaccard similarity of
-    ``least`` or more; groups are the components of all links. A text of fewer words is one shingle;
-    texts without a word are copies of each other, null included.
+    ``least`` or more; groups are the components of all links, whatever ``distance`` SimHash is given.
+    A text of fewer words is one shingle; texts without a word are copies of each other, null included.
+    Repeated rows stay repeated, ids are passed on as they are, null or not, other columns are
+    ignored whatever their names, and an empty table gives no row.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     own = materialize(marks(rows, words, least, kind), "marks")
-    roots = connected_components(links(rows, own, words, least))
+    found = links(rows, own, words, least, distance)
+    roots = connected_components(found)
     named = own.select("id", "h", "node").join(roots, "node", "left")
-    return named.select("id", "h", F.coalesce("root", "node").alias("root"))
+    out = materialize(named.select("id", "h", F.coalesce("root", "node").alias("root")), "groups")
+    for done in (own, found):
+        release(done)
+    return out
