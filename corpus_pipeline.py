@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import language, packing, pii, similar, suffix
-from cairn.llm.common import materialize, shared_dir
+from cairn.llm.common import shared_dir
 from cairn.llm.queries import tokenizer_path
 
 #: A document whose language is less likely than this is rejected.
@@ -25,7 +25,11 @@ def with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no likely language."""
+    """Drops documents without a letter, null texts among them, and those of no likely language.
+
+    What was learned of a row's own label never decides on it: labels are no input of a prediction.
+    Repeated rows and repeated or null ids are judged row by row. An empty table stays empty.
+    """
     found = language.identify(docs, keep_row=True)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
@@ -34,9 +38,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays: the one with the smallest id, by the text's hash where ids are equal.
 
-    A row without an id stays only where its whole group has none. Ids need not be unique.
+    SimHash blocks find most of what belongs together, a prefix filter the rest; every link is verified
+    on whole shingle sets. A row without an id stays only where its whole group has none. Ids need not
+    be unique: rows of one id with different texts are judged apart; of rows equal in id and text one
+    stays. An empty table stays empty.
     """
-    groups = materialize(similar.near_duplicates(docs, words=WORDS), "groups")
+    groups = similar.near_duplicates(docs, words=WORDS)
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")).alias("first")
     stay = groups.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.h").alias("h"))
     rows = docs.withColumn("__h", F.xxhash64("text"))
@@ -45,16 +52,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; every document stays, perhaps with an empty text."""
+    """Takes repeated passages out of the texts; every document stays, perhaps with an empty text.
+
+    Null texts become empty. Rows are judged whatever their ids; an empty table stays empty.
+    """
     return with_text(suffix.remove_repeats(docs, keep_row=True), docs.columns, F.col("kept"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts ``<kind>`` in the place of each span of personal data."""
+    """Puts ``<kind>`` in the place of each span of personal data; every document stays.
+
+    Null texts become empty. Rows are judged whatever their ids; an empty table stays empty.
+    """
     return with_text(pii.find(docs, pii.fit(docs)), docs.columns, pii.redacted())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document and their places in sequences of ``CAPACITY`` tokens.
+
+    Null and empty texts are one piece of the closing token alone; ids are passed on, repeated or
+    null; an empty table gives no row.
+    """
     packed = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=CAPACITY)
     return packed.withColumnRenamed("id", "doc_id")
 
