@@ -79,6 +79,11 @@ def default_extract_name(archive: Column) -> Column:
     return F.concat(stem(split_filename(archive)["filename"]), F.lit("_extracted"))
 
 
+def suffix(path: Column) -> Column:
+    """Extension with its dot, empty without one."""
+    return F.regexp_extract(path, r"[^/\\]*?(\.[^./\\]+)$", 1)
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension with its dot, empty without one."""
-    return F.lower(F.regexp_extract(path, r"[^/\\]*?(\.[^./\\]+)$", 1))
+    return F.lower(suffix(path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,39 +13,71 @@ BLOCK_SIZE = 65536
 SLOTS = 16
 
 
-def sortable(key: Column, kind: str) -> Column:
-    """A number that orders as the key does, but for ties: numbers themselves, else the first bytes."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return key.cast("bigint")
-    raw = F.rpad(F.hex(F.substring(key.cast("binary"), F.lit(1), F.lit(7))), 14, "0")
-    return F.conv(raw, 16, 10).cast("bigint")
+#: Sampled keys for each range that rows are cut into.
+SAMPLED = 20
 
 
-def running_total(
-    df: DataFrame, key: str, value: Column, out: str, within: tuple[str, ...] = (), ties: tuple[str, ...] = ()
+def bounds(df: DataFrame, key: str, n: int) -> list:
+    """At most ``n - 1`` keys that cut the rows into ranges of about equal numbers of rows.
+
+    They come from a bounded random sample of the rows, whole keys whatever their type; they decide
+    how work is spread, never a result.
+    """
+    if n < 2:
+        return []
+    drawn = df.select(F.col(key).alias("k"), F.rand(7).alias("r")).where("k IS NOT NULL").orderBy("r").limit(SAMPLED * n)
+    keys = [row[0] for row in drawn.select("k").sort("k").collect()]
+    step = max(1, len(keys) // n)
+    return list(dict.fromkeys(keys[step::step]))[: n - 1]
+
+
+def range_of(key: Column, cuts: list, kind: str) -> Column:
+    """How many cuts are below the key: first whole runs of them are counted, then those of one run."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts) - 1) + 1
+    parts = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    ends = [x[-1] for x in parts if len(x) == size]
+    wide = lambda values: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+    below = lambda values: F.size(F.filter(values, lambda c: c < key))
+    run = below(wide(ends)) if ends else F.lit(0)
+    within = below(F.get(F.array(*map(wide, parts)), run))
+    return run * size + F.greatest(F.coalesce(within, F.lit(0)), F.lit(0))
+
+
+def running_totals(
+    df: DataFrame, key: str, values: dict[str, Column], within: tuple[str, ...] = (), ties: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``df`` with ``out``, the sum of ``value`` over the rows before each one, by ``key`` then ``ties``.
+    """``df`` with, for each name of ``values``, the sum of that value over the rows before each one,
+    by ``key`` then ``ties``.
 
     Two levels, so that no task sees all rows: rows are cut into ranges of the key, ranges are
     summed and their sums added up (one row for each range and group), and each range adds up its
-    own rows. Bounds come from an approximate quantile, one number for each shuffle partition.
+    own rows. All values go through it at once.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = sortable(F.col(key), df.schema[key].dataType.simpleString())
-    shares = [i / n for i in range(1, n)]
-    bounds = df.select(F.percentile_approx(number, shares, 100 * n)).first()[0] if n > 1 else []
-    cut = F.lit(sorted(set(bounds or []))).cast("array<bigint>")
-    range_ = F.coalesce(F.size(F.filter(cut, lambda b: number > b)), F.lit(0))
-    rows = df.withColumns({"__range": range_, "__value": value.cast("bigint")})
-    sums = rows.groupBy(*within, "__range").agg(F.sum("__value").alias("__sum"))
-    before = F.sum("__sum").over(W.partitionBy(*within).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    base = sums.select(*within, "__range", F.coalesce(before, F.lit(0)).alias("__base"))
+    kind = df.schema[key].dataType.simpleString()
+    range_ = range_of(F.col(key), bounds(df, key, n), kind)
+    names = list(values)
+    rows = df.withColumns({"__range": range_} | {f"__v_{x}": values[x].cast("bigint") for x in names})
+    sums = rows.groupBy(*within, "__range").agg(*[F.sum(f"__v_{x}").alias(f"__s_{x}") for x in names])
+    before = W.partitionBy(*within).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(
+        *within, "__range", *[F.coalesce(F.sum(f"__s_{x}").over(before), F.lit(0)).alias(f"__b_{x}") for x in names]
+    )
     if not within:
         base = F.broadcast(base)  # one row for each range at most
     local = W.partitionBy(*within, "__range").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, -1)
-    own = F.coalesce(F.sum("__value").over(local), F.lit(0))
     joined = rows.join(base, [*within, "__range"])
-    return joined.withColumn(out, F.col("__base") + own).drop("__range", "__value", "__base")
+    own = {x: F.col(f"__b_{x}") + F.coalesce(F.sum(f"__v_{x}").over(local), F.lit(0)) for x in names}
+    return joined.select(*df.columns, *[c.alias(x) for x, c in own.items()])
+
+
+def running_total(
+    df: DataFrame, key: str, value: Column, out: str, within: tuple[str, ...] = (), ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """``running_totals`` of one value."""
+    return running_totals(df, key, {out: value}, within, ties)
 
 
 def file_layout(files: DataFrame, key: str, size: Column, within: tuple[str, ...] = ()) -> DataFrame:

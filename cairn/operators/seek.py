@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.binary import le_bytes, le_uint
-from cairn.operators.layout import running_total
+from cairn.operators.layout import running_total, running_totals
 
 # Fixed values of the seek table format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -18,41 +18,60 @@ HEADER, INTEGRITY, ENTRY, CHECKED_ENTRY = 8, 9, 8, 12
 
 def seek_table(frames: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """``frames(frame_id, c_size, d_size)`` with start and end on both axes."""
-    one = running_total(frames, "frame_id", F.col("c_size"), "c_start", within)
-    two = running_total(one, "frame_id", F.col("d_size"), "d_start", within)
-    return two.withColumns({"c_end": F.col("c_start") + F.col("c_size"), "d_end": F.col("d_start") + F.col("d_size")})
+    starts = running_totals(frames, "frame_id", {"c_start": F.col("c_size"), "d_start": F.col("d_size")}, within)
+    return starts.withColumns({"c_end": F.col("c_start") + F.col("c_size"), "d_end": F.col("d_start") + F.col("d_size")})
 
 
-def frames_of(files: DataFrame, key: str, size: Column, frame_size: int) -> DataFrame:
+def frames_of(files: DataFrame, key: str, size: Column, frame_size: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Frames of ``frame_size`` bytes of each file, the last shorter; an empty file has one empty frame."""
     n = F.greatest(F.ceil(size / frame_size), F.lit(1)).cast("bigint")
-    each = files.select(key, size.cast("bigint").alias("size"), F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_id"))
+    each = files.select(key, *keep, size.cast("bigint").alias("size"), F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_id"))
     return each.select(
         key,
+        *keep,
         "frame_id",
         F.greatest(F.least(F.col("size") - F.col("frame_id") * frame_size, F.lit(frame_size)), F.lit(0)).alias("d_size"),
     )
 
 
-def frame_at(offsets: DataFrame, table: DataFrame, offset: str = "offset", axis: str = "d", bin_size: int = 1 << 20) -> DataFrame:
+def numbered_frames(files: DataFrame, key: str, size: Column, frame_size: int) -> DataFrame:
+    """The frames of all files in order of ``key`` as those of one table: ``frame_id`` counts through.
+    Frames are counted by file before they are listed."""
+    sized = files.select(key, size.cast("bigint").alias("__size"))
+    n = F.greatest(F.ceil(F.col("__size") / frame_size), F.lit(1))
+    counted = running_total(sized, key, n, "__first")
+    each = frames_of(counted, key, F.col("__size"), frame_size, ("__first",))
+    return each.select(key, (F.col("__first") + F.col("frame_id")).alias("frame_id"), "d_size")
+
+
+def frame_at(
+    offsets: DataFrame,
+    table: DataFrame,
+    offset: str = "offset",
+    axis: str = "d",
+    bin_size: int = 1 << 20,
+    within: tuple[str, ...] = (),
+) -> DataFrame:
     """The frame that holds each offset; one past the end finds the last frame, a table without
-    frames none.
+    frames none. With ``within``, offsets meet the table of their own file.
 
     The range condition is made an equality first: frames are listed under each bin they touch, so
     offsets meet only frames of their own bin. Empty frames hold nothing.
     """
     start, end = f"{axis}_start", f"{axis}_end"
-    last = table.agg(F.max(end).alias("__total"), F.max("frame_id").alias("__last"))
+    last = table.groupBy(*within).agg(F.max(end).alias("__total"), F.max("frame_id").alias("__last"))
     full = table.where(F.col(end) > F.col(start))
     bins = F.sequence(F.floor(F.col(start) / bin_size), F.floor((F.col(end) - 1) / bin_size))
-    listed = full.select("frame_id", start, end, F.explode(bins).alias("__bin"))
-    asked = offsets.join(F.broadcast(last)).where("__last IS NOT NULL")
+    listed = full.select(*within, "frame_id", start, end, F.explode(bins).alias("__bin"))
+    asked = offsets.join(last, list(within)) if within else offsets.join(F.broadcast(last)).where("__last IS NOT NULL")
     asked = asked.withColumn("__bin", F.floor(F.col(offset) / bin_size)).alias("q")
     inside = (
         (F.col("q.__bin") == F.col("t.__bin"))
         & (F.col(f"q.{offset}") >= F.col(f"t.{start}"))
         & (F.col(f"q.{offset}") < F.col(f"t.{end}"))
     )
+    for c in within:
+        inside = inside & (F.col(f"q.{c}") == F.col(f"t.{c}"))
     found = asked.join(listed.alias("t"), inside, "left")
     id_ = F.when(F.col(f"q.{offset}") >= F.col("q.__total"), F.col("q.__last")).otherwise(F.col("t.frame_id"))
     return found.select(*[F.col(f"q.{c}") for c in offsets.columns], id_.alias("frame_id"))

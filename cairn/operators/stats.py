@@ -1,29 +1,82 @@
-"""Byte statistics of payloads and blocks."""
+"""Byte statistics of payloads and blocks; bytes are counted by Arrow batch, the rest is expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hex_pairs(data: Column) -> Column:
-    """A payload's bytes, two hexadecimal digits each."""
-    return F.regexp_extract_all(F.hex(data), F.lit(".."), 0)
+#: Bytes of payloads that are counted together; a longer payload is counted alone.
+TOGETHER = 4 << 20
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive payloads of about ``TOGETHER`` bytes."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        total += n
+        if total >= TOGETHER or i + 1 - start >= 1024:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _joined(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a slice of payloads, and how many each has; null has none."""
+    raw = [v.as_buffer() if v.is_valid else b"" for v in col.cast(pa.large_binary())]
+    return np.frombuffer(b"".join(raw), np.uint8), np.array([len(v) for v in raw], np.int64)
+
+
+def _counted(payloads: DataFrame, count: Callable[[pa.Array], tuple], names: str) -> DataFrame:
+    """``(key, names...)`` for the payloads of each Arrow batch, by ``count``: which payload, and columns."""
+    kind = payloads.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for i, z in _runs(sizes):
+                of, *cols = count(b.column(1)[i:z])
+                got = [b.column(0).take(pa.array(of + i)), *(pa.array(c, pa.int64()) for c in cols)]
+                yield pa.RecordBatch.from_arrays(got, ["key", *names.split()])
+
+    return payloads.mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} bigint" for n in names.split()))
 
 
 def byte_rows(payloads: DataFrame, key: str, data: Column) -> DataFrame:
-    """``(key, byte, n)``: each payload's bytes counted, in one row per distinct byte. Counts are
-    combined before the shuffle, so a payload sends 256 rows at most."""
-    each = payloads.select(F.col(key), F.explode(hex_pairs(data)).alias("pair"))
-    got = each.groupBy(key, "pair").agg(F.count("*").alias("n"))
-    return got.select(key, F.conv("pair", 16, 10).cast("int").alias("byte"), "n")
+    """``(key, byte, n)``: each payload's bytes counted, in one row per distinct byte. A batch of
+    payloads is counted at once, so a payload sends 256 rows at most."""
+
+    def count(col: pa.Array) -> tuple:
+        flat, sizes = _joined(col)
+        table = np.bincount(np.repeat(np.arange(len(sizes)) * 256, sizes) + flat, minlength=256 * len(sizes))
+        at = np.flatnonzero(table)
+        return at >> 8, at & 255, table[at]
+
+    each = _counted(payloads.select(F.col(key).alias("key"), data.alias("data")), count, "byte n")
+    got = each.groupBy(F.col("key").alias(key), F.col("byte").cast("int").alias("byte"))
+    return got.agg(F.sum("n").alias("n"))
 
 
 def histogram(payloads: DataFrame, data: Column) -> DataFrame:
-    """Bytes of all payloads together: ``(byte, n)``."""
-    each = payloads.select(F.explode(hex_pairs(data)).alias("pair"))
-    got = each.groupBy("pair").agg(F.count("*").alias("n"))
-    return got.select(F.conv("pair", 16, 10).cast("int").alias("byte"), "n")
+    """Bytes of all payloads together: ``(byte, n)``. Each batch sends 256 rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = np.zeros(256, np.int64)
+            for v in b.column(0).cast(pa.large_binary()):
+                if v.is_valid:
+                    table += np.bincount(np.frombuffer(v.as_buffer(), np.uint8), minlength=256)
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["byte", "n"])
+
+    each = payloads.select(data.alias("data")).mapInArrow(run, "byte int, n bigint")
+    return each.groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def cardinality(counts: DataFrame, key: str) -> DataFrame:
@@ -79,20 +132,22 @@ def coded_size(counts: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
 
 def fingerprints(payloads: DataFrame, key: str, data: Column, rate: int, hash_log: int) -> DataFrame:
     """``(key, bucket, n, events)``: hashed pairs of bytes, one in ``rate``, counted."""
-    pairs = payloads.select(F.col(key), hex_pairs(data).alias("pairs"))
-    n = F.size("pairs")
-    at = F.sequence(F.lit(0), n - 2, F.lit(rate))
-
-    def bucket(i: Column) -> Column:
-        low = F.conv(F.get("pairs", i), 16, 10).cast("bigint")
-        high = F.conv(F.get("pairs", i + 1), 16, 10).cast("bigint")
-        product = ((low + 256 * high) * 0x9E3779B9).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftrightunsigned(product, 32 - hash_log).cast("int")
-
-    each = pairs.where(n >= 2).select(
-        F.col(key), F.floor((n - 1) / rate).alias("events"), F.explode(F.transform(at, bucket)).alias("bucket")
-    )
-    return each.groupBy(key, "bucket").agg(F.count("*").alias("n"), F.max("events").alias("events"))
+
+    def count(col: pa.Array) -> tuple:
+        flat, sizes = _joined(col)
+        begin = np.cumsum(sizes) - sizes
+        pairs = np.where(sizes >= 2, (sizes - 2) // rate + 1, 0)
+        doc = np.repeat(np.arange(len(sizes)), pairs)
+        at = begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(pairs) - pairs, pairs)) * rate
+        value = flat[at].astype(np.int64) + 256 * flat[at + 1].astype(np.int64)
+        bucket = (value * 0x9E3779B9 & 0xFFFFFFFF) >> (32 - hash_log)
+        found, n = np.unique(doc << hash_log | bucket, return_counts=True)
+        of = found >> hash_log
+        return of, found & (1 << hash_log) - 1, n, (sizes[of] - 1) // rate
+
+    each = _counted(payloads.select(F.col(key).alias("key"), data.alias("data")), count, "bucket n events")
+    got = each.groupBy(F.col("key").alias(key), F.col("bucket").cast("int").alias("bucket"))
+    return got.agg(F.sum("n").alias("n"), F.max("events").alias("events"))
 
 
 def merged(prints: DataFrame) -> DataFrame:
