@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions.codec import compress
 from cairn.functions.paths import components, default_archive_name, stays_inside
 from cairn.operators.layout import BLOCK_SIZE, block_overlap, file_layout, offset_records, stored_size
-from cairn.sources.archive import Archive, ArchiveBuilder, ArchiveSource, OpenFailure
+from cairn.sources.archive import Archive, ArchiveBuilder, ArchiveSource, OpenFailure, batch_of, open_failure
 
 SUFFIX = ".zar"
 POLICIES = ("Fail", "Skip", "Overwrite", "AutoRename")
@@ -114,15 +115,21 @@ def free_sibling(path: str) -> str:
 
 def pack(files: DataFrame, archive: str, policy: str = "Fail", level: int = 6, codec: str = "zstd") -> str | None:
     """Write ``files(path, content)`` as one archive, in order of path; null content is a directory.
-    Returns where it is, None if it was skipped."""
+
+    Blocks are compressed by all tasks; one task puts them one after the other and writes the tables.
+    Returns where the archive is, None if it was skipped.
+    """
     out = resolve(archive, policy)
     if out is None:
         return None
     register(files.sparkSession)
-    rows = files.select("path", "content").repartition(1).sortWithinPartitions("path")
-    rows.write.format("block_archive").option("codec", codec).option("level", level).mode(
-        "overwrite" if policy == "Overwrite" else "append"
-    ).save(out)
+    options = {"level": level} if codec == "zstd" else {}
+    stored = blocks(files.where("content IS NOT NULL"), "path", "content", codec=codec, **options)
+    named = files.select(F.lit(None).cast("bigint").alias("block_id"), "path", F.octet_length("content").cast("bigint").alias("size"))
+    rows = stored.select("block_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("size"), F.col("payload").alias("content"))
+    rows = rows.unionByName(named.withColumn("content", F.lit(None).cast("binary"))).repartition(1)
+    rows = rows.sortWithinPartitions(F.asc_nulls_last("block_id"), "path").select("path", "size", "content")
+    rows.write.format("block_archive").mode("overwrite" if policy == "Overwrite" else "append").save(out)
     return out
 
 
@@ -135,6 +142,49 @@ def entries(spark: SparkSession, path: str, content: bool = False, **options) ->
     return reader.load(path)
 
 
+def read_ranges(requests: DataFrame, archive: str, path: str = "path", start: str = "start", length: str = "length") -> DataFrame:
+    """``requests`` with ``content``: so many bytes of a file of the archive from a place on, clamped to
+    the file, null where there is no such file. Requests are dealt out by path; a task opens the archive
+    once and decodes each block that its requests share once."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, failure = open_failure(archive, cache_blocks=64)
+        if opened is None:
+            raise OpenFailure(failure)
+        found = {e.path.translate(FOLD): e for e in opened.entries() if e.is_file}
+        for b in batches:
+            out = []
+            for p, s, n in zip(*(b.column(c).to_pylist() for c in (path, start, length))):
+                e = found.get("/".join(x for x in (p or "").replace("\\", "/").split("/") if x).translate(FOLD))
+                out.append(None if e is None else opened.read(e.offset, e.size, s, n))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "content"])
+
+    return requests.repartition(path).mapInArrow(run, kind + ", content binary")
+
+
+#: Letters that names are told apart without.
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def entries_in(files: DataFrame, key: str = "path", data: str = "content", content: bool = False) -> DataFrame:
+    """Entries of archives that are BINARY values, as Spark's own readers give them from any store.
+    A value that is no archive gives one row that says why."""
+    names = ["archive", "path", "is_file", "offset", "size", "safe", *["content"] * content, "failure"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, value in zip(b.column(0).to_pylist(), b.column(1)):
+                opened, failure = open_failure(value.as_py() if value.is_valid else b"")
+                found = [None] if opened is None else opened.entries()
+                bodies = [opened.read(e.offset, e.size) if e and e.is_file and content else None for e in found]
+                yield batch_of(names, name, found, bodies, None if opened else failure)
+
+    body = ", content binary" if content else ""
+    schema = f"archive string, path string, is_file boolean, offset bigint, size bigint, safe boolean{body}, failure string"
+    return files.select(F.col(key).cast("string"), data).mapInArrow(run, schema)
+
+
 STATUS = "source string, destination string, status string, error string, files bigint, bytes bigint"
 
 
@@ -189,16 +239,42 @@ def pack_one(directory: str, archive: str, level: int, policy: str = "Fail") ->
                     b.add_file(path, data)
                     files, total = files + 1, total + len(data)
             b.finish()
-        os.replace(temp, out)
+        out = place_file(temp, out, policy)
     finally:
         if os.path.exists(temp):
             os.unlink(temp)
     return out, files, total
 
 
-def batch(items: DataFrame, operation: str, policy: str = "Fail", level: int = 6) -> DataFrame:
+def place_file(temp: str, wanted: str, policy: str) -> str | None:
+    """Moves a finished file to ``wanted`` without ever replacing what came there meanwhile, unless the
+    policy is to overwrite: a link either is made or is not. None if it is to be skipped."""
+    while policy != "Overwrite":
+        try:
+            os.link(temp, wanted)
+            os.unlink(temp)
+            return wanted
+        except FileExistsError:
+            taken = resolve(wanted, policy)
+            if taken is None:
+                return None
+            wanted = taken
+    os.replace(temp, wanted)
+    return wanted
+
+
+def batch(
+    items: DataFrame,
+    operation: str,
+    policy: str = "Fail",
+    level: int = 6,
+    delete_source: bool = False,
+    stop: str | None = None,
+) -> DataFrame:
     """A result row for each item ``(source, destination)``; ``operation`` is pack or extract. Items
-    run apart from each other, and one that fails says so in its row and stops no other."""
+    run apart from each other, and one that fails says so in its row and stops no other. Items that
+    begin after a file ``stop`` is there are cancelled. With ``delete_source`` a source goes once its
+    output is in place."""
     if operation not in ("pack", "extract"):
         raise ValueError("operation must be pack or extract")
 
@@ -208,11 +284,15 @@ def batch(items: DataFrame, operation: str, policy: str = "Fail", level: int = 6
             for source_, destination in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 status, error, files, size = "Completed", None, 0, 0
                 try:
-                    if operation == "pack":
+                    if stop is not None and os.path.lexists(stop):
+                        status = "Cancelled"
+                    elif operation == "pack":
                         out, files, size = pack_one(source_, destination, level, policy)
-                        status = "Completed" if out else "Skipped"
+                        status, destination = ("Completed", out) if out else ("Skipped", destination)
                     else:
                         files, size = extract(source_, destination)
+                    if status == "Completed" and delete_source:
+                        shutil.rmtree(source_) if os.path.isdir(source_) else os.unlink(source_)
                 except Exception as e:
                     status, error = "Failed", f"{type(e).__name__}: {e}"
                 values = [source_, destination, status, error, files, size]

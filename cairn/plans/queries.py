@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import codec, latin, parsing, paths
+from cairn.functions import codec, latin, matching, parsing, paths, reports
 from cairn.functions.binary import be_bytes, be_uint, le_bytes, le_uint, low_high, within
 from cairn.operators import batch, layout, seek, stats, tree
-from cairn.plans import archives, seekable
+from cairn.plans import archives, files, seekable
+from cairn.sources.archive import at
+from cairn.streaming import frames as streams
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +39,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n_bytes() -> Column:
-    return F.octet_length("text").cast("bigint")
+    return F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
 
 
 SZ = "octet_length(encode(coalesce(text, '')))"
@@ -66,7 +69,7 @@ def block_overlap(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def doc_sha256(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
 
 
 HEX = "unnest(regexp_extract_all(hex(encode(text)), '..'))"
@@ -222,12 +225,16 @@ def root_entries(spark, sf_dir):
     return tree.children(tree.breadth_first(page_tree(spark, sf_dir)), F.lit(0)).select("folded")
 
 
-@query(f"WITH {NODES} SELECT page_id, array_to_string(list_transform({PARTS}, lambda x: translate(x, '{UP}', '{LOW}')), '/') AS found FROM pages")
+@query(f"""WITH RECURSIVE {NODES}, r AS (SELECT ''::VARCHAR AS path, ''::VARCHAR AS ord, 0::BIGINT AS depth UNION ALL
+  SELECT n.path, r.ord || chr(1) || n.name, n.depth::BIGINT FROM n JOIN r ON n.parent = r.path AND n.depth = r.depth + 1),
+i AS (SELECT path, (row_number() OVER (ORDER BY depth, ord) - 1)::BIGINT AS node_id FROM r)
+SELECT page_id, i.path AS found, node_id FROM pages JOIN i ON i.path = array_to_string(list_transform({PARTS}, lambda x: translate(x, '{UP}', '{LOW}')), '/')""")
 def path_lookup(spark, sf_dir):
+    """Pages by their paths in capitals."""
     numbered = tree.breadth_first(page_tree(spark, sf_dir))
     asked = read(spark, sf_dir, "pages").select("page_id", F.upper("url").alias("url"))
-    found = tree.lookup(asked.where("url = upper(url)"), numbered, "url")
-    return found.join(numbered.select("node_id", "folded"), "node_id").select("page_id", F.col("folded").alias("found"))
+    found = tree.lookup(asked, numbered, "url")
+    return found.join(numbered.select("node_id", "folded"), "node_id").select("page_id", F.col("folded").alias("found"), "node_id")
 
 
 @query(f"SELECT p_partkey, row_number() OVER (ORDER BY encode(translate(p_name, '{UP}', '{LOW}')), p_partkey) AS place FROM part")
@@ -275,12 +282,9 @@ s AS (SELECT frame_id, c_size, d_size, (sum(c_size) OVER w - c_size)::BIGINT AS
 
 
 def frames(spark, sf_dir):
-    got = seek.frames_of(docs(spark, sf_dir), "doc_id", F.coalesce(n_bytes(), F.lit(0)), 4096)
-    numbered = layout.running_total(got, "doc_id", F.lit(1), "number", ties=("frame_id",))
+    got = seek.numbered_frames(docs(spark, sf_dir), "doc_id", n_bytes(), 4096)
     d = F.col("d_size").cast("bigint")
-    return numbered.select(
-        F.col("number").alias("frame_id"), d.alias("d_size"), (F.floor(d / 2) + 10).cast("bigint").alias("c_size")
-    )
+    return got.select("frame_id", d.alias("d_size"), (F.floor(d / 2) + 10).cast("bigint").alias("c_size"))
 
 
 @query(f"WITH {FRAMES} SELECT *, c_start + c_size AS c_end, d_start + d_size AS d_end FROM s")
@@ -338,48 +342,153 @@ def seek_table_bytes(spark, sf_dir):
     )
 
 
-NAMES = "unnest(['a.txt', '..', '.', '', 'con', 'COM1.log', 'com10', 'lpt9', 'x/y', 'a\\b', 'C:evil', 'nul.tar.gz', 'console', 'É.txt'])"
+ODD_NAMES = ["a.txt", "..", ".", "", "con", "COM1.log", "com10", "lpt9", "x/y", "a\\b", "C:evil", "nul.tar.gz", "console", "É.txt"]
+ODD_LIST = "['a.txt', '..', '.', '', 'con', 'COM1.log', 'com10', 'lpt9', 'x/y', 'a\\b', 'C:evil', 'nul.tar.gz', 'console', 'É.txt']"
+NAMED = f"""n AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN ({ODD_LIST})[(c_custkey // 3 % 14 + 1)::INT]
+  ELSE ({ODD_LIST})[(c_custkey // 3 % 14 + 1)::INT] || c_custkey END AS name FROM customer)"""
+
+
+def picked(values: list[str], number: Column) -> Column:
+    """One of some values, by a number."""
+    return F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
 
 
-@query(rf"""WITH n AS (SELECT {NAMES} AS name) SELECT name,
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(rf"""WITH {NAMED} SELECT c_custkey, name,
 NOT (name = '' OR name IN ('.', '..') OR regexp_matches(name, '[/\\]') OR regexp_matches(name, '^[A-Za-z]:')
   OR regexp_matches(upper(split_part(name, '.', 1)), '^(CON|PRN|AUX|NUL|(COM|LPT)[1-9])$')) AS safe FROM n""")
 def unsafe_names(spark, sf_dir):
-    names = ["a.txt", "..", ".", "", "con", "COM1.log", "com10", "lpt9", "x/y", "a\\b", "C:evil", "nul.tar.gz", "console", "É.txt"]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
-    return rows.select("name", paths.is_safe_name(F.col("name")).alias("safe"))
+    k = F.col("c_custkey")
+    odd = picked(ODD_NAMES, F.floor(k / 3))
+    name = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, odd).otherwise(F.concat(odd, k))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
+    return rows.select("c_custkey", "name", paths.is_safe_name(F.col("name")).alias("safe"))
 
 
-SIZES = ["2M", "10KiB", "7", "5b", "1 g", "3 Gib", "x", "", "12Q", "18446744073709551615", "18446744073709551616", "20000000000000G"]
+UNITS = ["", "b", "K", "KiB", " m", "MiB", "g", "Gib", "Q", "x1", "000000000000000000M"]
 
 
-@query(r"""WITH t AS (SELECT unnest(['2M','10KiB','7','5b','1 g','3 Gib','x','','12Q','18446744073709551615','18446744073709551616','20000000000000G']) AS text),
-p AS (SELECT text, try_cast(regexp_extract(text, '^([0-9]+)', 1) AS HUGEINT) AS n, upper(regexp_replace(regexp_replace(text, '^[0-9]+', ''), '\s', '', 'g')) AS u FROM t),
-s AS (SELECT text, n * CASE u WHEN '' THEN 1 WHEN 'B' THEN 1 WHEN 'K' THEN 1024 WHEN 'KIB' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'MIB' THEN 1048576
+@query(rf"""WITH t AS (SELECT o_orderkey, o_orderkey || ({sql_list(UNITS)})[(o_orderkey % 11 + 1)::INT] AS text FROM orders
+  UNION ALL SELECT -i, ({sql_list(["18446744073709551615", "18446744073709551616", "20000000000000G", "", "-5", "007k"])})[i] FROM range(1, 7) r(i)),
+p AS (SELECT *, try_cast(regexp_extract(text, '^([0-9]+)', 1) AS HUGEINT) AS n, upper(regexp_replace(regexp_replace(text, '^[0-9]+', ''), '\s', '', 'g')) AS u FROM t),
+s AS (SELECT o_orderkey, text, n * CASE u WHEN '' THEN 1 WHEN 'B' THEN 1 WHEN 'K' THEN 1024 WHEN 'KIB' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'MIB' THEN 1048576
   WHEN 'G' THEN 1073741824 WHEN 'GIB' THEN 1073741824 END AS size FROM p)
-SELECT text, CASE WHEN size <= 18446744073709551615 THEN size::DECIMAL(38,0) END AS size FROM s""")
+SELECT o_orderkey, text, CASE WHEN size <= 18446744073709551615 THEN size::DECIMAL(38,0) END AS size FROM s""")
 def byte_size_parse(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, SIZES))).alias("text"))
-    return rows.select("text", parsing.byte_size(F.col("text")).alias("size"))
+    odd = ["18446744073709551615", "18446744073709551616", "20000000000000G", "", "-5", "007k"]
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(k, picked(UNITS, k)).alias("text"))
+    more = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(odd)], "o_orderkey bigint, text string")
+    return rows.unionByName(more).select("o_orderkey", "text", parsing.byte_size(F.col("text")).alias("size"))
 
 
-@query("""WITH t AS (SELECT unnest(['12% done', 'at 250%', 'none', '% 7%', '0%']) AS line)
-SELECT line, CASE WHEN regexp_extract(line, '([0-9]+)%', 1) <> '' THEN least(regexp_extract(line, '([0-9]+)%', 1)::BIGINT / 100.0, 1.0)::DOUBLE END AS share FROM t""")
+@query("""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 250 || '% done' WHEN 1 THEN 'at ' || event_id || ' of 9: ' || event_id % 101 || '%'
+  WHEN 2 THEN 'no share of ' || event_id ELSE '% ' || event_id % 50 || '%%' END AS line FROM events)
+SELECT event_id, line, CASE WHEN regexp_extract(line, '([0-9]+)%', 1) <> '' THEN least(regexp_extract(line, '([0-9]+)%', 1)::BIGINT / 100.0, 1.0)::DOUBLE END AS share FROM t""")
 def percent_parse(spark, sf_dir):
-    lines = ["12% done", "at 250%", "none", "% 7%", "0%"]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, lines))).alias("line"))
-    return rows.select("line", parsing.percent(F.col("line")).cast("double").alias("share"))
+    e = F.col("event_id")
+    line = (
+        F.when(e % 4 == 0, F.concat(e % 250, F.lit("% done")))
+        .when(e % 4 == 1, F.concat(F.lit("at "), e, F.lit(" of 9: "), e % 101, F.lit("%")))
+        .when(e % 4 == 2, F.concat(F.lit("no share of "), e))
+        .otherwise(F.concat(F.lit("% "), e % 50, F.lit("%%")))
+    )
+    rows = read(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    return rows.select("event_id", "line", parsing.percent(F.col("line")).cast("double").alias("share"))
 
 
-MODE_WORDS = ["auto", " Extract-Arc ", "archive", "ISO", "extract", "compress", "pack", ""]
+MODE_WORDS = ["auto", " Extract-Arc ", "archive", "ISO", "extract", "compress", "pack", "", "extract-iso", "Extract-Archive"]
+MODE_SQL = """CASE lower(trim(word)) WHEN 'auto' THEN 'Auto' WHEN 'extract-archive' THEN 'ExtractArchive' WHEN 'extract-arc' THEN 'ExtractArchive'
+  WHEN 'archive' THEN 'ExtractArchive' WHEN 'extract-iso' THEN 'ExtractIso' WHEN 'extract' THEN 'ExtractIso' WHEN 'iso' THEN 'ExtractIso' WHEN 'compress' THEN 'Compress' END"""
+SUFFIXES = [".iso", ".ISO", ".zip", ".rar", ".7z", ".tar", ".gz", ".zar", "", ".iso.txt"]
+ENTRIES = f"""e AS (SELECT event_id, ({sql_list(MODE_WORDS)})[(event_id % 10 + 1)::INT] AS word, 'dir.d/f' || event_id || ({sql_list(SUFFIXES)})[(event_id // 10 % 10 + 1)::INT] AS path,
+  event_id % 7 = 0 AS is_dir FROM events), m AS (SELECT *, {MODE_SQL} AS mode, lower(regexp_extract(path, '[^/\\\\]*?(\\.[^./\\\\]+)$', 1)) AS x FROM e),
+k AS (SELECT *, x = '.iso' AS iso, x IN ('.zip', '.rar', '.7z', '.tar', '.gz') AS arc FROM m)"""
 
 
-@query("""WITH t AS (SELECT unnest(['auto',' Extract-Arc ','archive','ISO','extract','compress','pack','']) AS word)
-SELECT word, CASE lower(trim(word)) WHEN 'auto' THEN 'Auto' WHEN 'extract-archive' THEN 'ExtractArchive' WHEN 'extract-arc' THEN 'ExtractArchive'
-  WHEN 'archive' THEN 'ExtractArchive' WHEN 'extract-iso' THEN 'ExtractIso' WHEN 'extract' THEN 'ExtractIso' WHEN 'iso' THEN 'ExtractIso' WHEN 'compress' THEN 'Compress' END AS mode FROM t""")
+def entries_of_modes(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id")
+    path = F.concat(F.lit("dir.d/f"), e, picked(SUFFIXES, F.floor(e / 10)))
+    rows = read(spark, sf_dir, "events").select("event_id", picked(MODE_WORDS, e).alias("word"), path.alias("path"), (e % 7 == 0).alias("is_dir"))
+    return rows.withColumns({"mode": parsing.process_mode(F.col("word")), "suffix": paths.extension(F.col("path"))})
+
+
+@query(f"WITH {ENTRIES} SELECT event_id, word, mode FROM k")
 def process_modes(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, MODE_WORDS))).alias("word"))
-    return rows.select("word", parsing.process_mode(F.col("word")).alias("mode"))
+    return entries_of_modes(spark, sf_dir).select("event_id", "word", "mode")
+
+
+@query(f"""WITH {ENTRIES} SELECT event_id, CASE mode WHEN 'Auto' THEN is_dir OR iso OR arc WHEN 'ExtractArchive' THEN NOT is_dir AND arc
+  WHEN 'ExtractIso' THEN NOT is_dir AND iso WHEN 'Compress' THEN is_dir ELSE false END AS taken,
+CASE WHEN is_dir THEN 'directory' WHEN iso THEN 'iso' ELSE 'archive' END AS kind,
+CASE WHEN mode <> 'Auto' THEN 'all' WHEN is_dir THEN 'directory' WHEN arc THEN 'archive' WHEN iso THEN 'iso' ELSE 'directory' END AS stages FROM k""")
+def processable_entries(spark, sf_dir):
+    is_dir, x = F.col("is_dir"), F.col("suffix")
+    return entries_of_modes(spark, sf_dir).select(
+        "event_id",
+        parsing.accepts(F.col("mode"), x, ~is_dir, is_dir).alias("taken"),
+        parsing.input_kind(is_dir, x).alias("kind"),
+        parsing.stage_kind(F.col("mode"), is_dir, x).alias("stages"),
+    )
+
+
+@query(f"WITH {ENTRIES} SELECT event_id % 97 AS tree, min(path) FILTER (iso) AS first FROM k GROUP BY 1")
+def first_images(spark, sf_dir):
+    rows = entries_of_modes(spark, sf_dir).withColumn("tree", F.col("event_id") % 97)
+    return files.first_image(rows, "path", ("tree",))
+
+
+OUTSIDE = ["a/b", "../a", "a/../b", "/etc", "\\x", "C:x", "a..b", "..", "a\\..\\b", "", "b/.."]
+
+
+@query(rf"""WITH p AS (SELECT page_id, ({sql_list(OUTSIDE)})[(page_id % 11 + 1)::INT] || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' || page_id END AS path FROM pages)
+SELECT page_id, NOT (regexp_matches(path, '^[/\\]|^[A-Za-z]:') OR list_contains(regexp_split_to_array(path, '[/\\]'), '..')) AS inside FROM p""")
+def inside_root(spark, sf_dir):
+    k = F.col("page_id")
+    path = F.concat(picked(OUTSIDE, k), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("/"), k)))
+    return read(spark, sf_dir, "pages").select("page_id", paths.stays_inside(path).alias("inside"))
+
+
+@query(r"""WITH p AS (SELECT page_id, 'games/v' || page_id % 9 || '.' || page_id || CASE page_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '.zar' WHEN 2 THEN '' ELSE '\' END AS path FROM pages),
+q AS (SELECT page_id, regexp_extract(regexp_replace(path, '[/\\]+$', ''), '([^/\\]*)$', 1) AS dir, regexp_extract(path, '([^/\\]*)$', 1) AS file FROM p)
+SELECT page_id, regexp_replace(dir, '\.[^.]*$', '') || '.zar' AS archive, regexp_replace(file, '\.[^.]*$', '') || '_extracted' AS extracted FROM q""")
+def default_names(spark, sf_dir):
+    k = F.col("page_id")
+    path = F.concat(F.lit("games/v"), k % 9, F.lit("."), k, picked(["/", ".zar", "", "\\"], k))
+    return read(spark, sf_dir, "pages").select(
+        "page_id", paths.default_archive_name(path, ".zar").alias("archive"), paths.default_extract_name(path).alias("extracted")
+    )
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 1000 AS done, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1000 + event_id % 7 END AS total,
+  event_id % 20 AS f, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 40 END AS n FROM events)
+SELECT event_id, CASE WHEN total > 0 THEN done / total WHEN n > 0 THEN f / n ELSE 1.0 END::DOUBLE AS ratio FROM e""")
+def progress_ratios(spark, sf_dir):
+    e = F.col("event_id")
+    total, n = F.when(e % 3 == 0, 0).otherwise(1000 + e % 7), F.when(e % 2 == 0, 0).otherwise(40)
+    ratio = parsing.progress_ratio(e % 1000, total, e % 20, n)
+    return read(spark, sf_dir, "events").select("event_id", ratio.cast("double").alias("ratio"))
+
+
+WEIGHTS = """(VALUES ('archive', '7z', 0.0, 0.33), ('archive', 'xiso', 0.33, 0.33), ('archive', 'zar', 0.66, 0.34), ('iso', 'xiso', 0.0, 0.5),
+  ('iso', 'zar', 0.5, 0.5), ('directory', 'zar', 0.0, 1.0)) w(kind, stage, base, len)"""
+
+
+@query(f"""WITH e AS (SELECT event_id, (['archive', 'iso', 'directory', 'all'])[(event_id % 4 + 1)::INT] AS kind, (['7z', 'xiso', 'zar', 'all', 'other'])[(event_id // 4 % 5 + 1)::INT] AS stage,
+  (event_id % 101) / 100.0 AS local FROM events)
+SELECT event_id, kind, stage, coalesce(base + len * local, local)::DOUBLE AS share FROM e LEFT JOIN {WEIGHTS} USING (kind, stage)""")
+def stage_weights(spark, sf_dir):
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(
+        "event_id",
+        picked(["archive", "iso", "directory", "all"], e).alias("kind"),
+        picked(["7z", "xiso", "zar", "all", "other"], F.floor(e / 4)).alias("stage"),
+    )
+    local = (F.col("event_id") % 101) / F.lit(100.0)
+    return rows.withColumn("share", parsing.rebase(F.col("kind"), F.col("stage"), local).cast("double"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 0.66 + 0.34 * ((event_id % 101) / 100.0) WHEN 'view' THEN 0.33 + 0.33 * ((event_id % 101) / 100.0)
@@ -404,20 +513,36 @@ def compress_bound(spark, sf_dir):
     )
 
 
-@query("""SELECT page_id, CASE WHEN rn = 1 THEN stem || '.html' ELSE stem || '_' || (rn - 1) || '.html' END AS free FROM
-(SELECT page_id, 'p' || page_id % 7 AS stem, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS rn FROM pages)""")
+#: Names given one after the other: the wanted one, or the first with a number that none has.
+CLAIM = """WITH RECURSIVE w AS (SELECT page_id, {stem} AS stem, {ext} AS ext, row_number() OVER (ORDER BY page_id) AS i FROM pages),
+r AS (SELECT 0::BIGINT AS i, {taken}::VARCHAR[] AS has, ''::VARCHAR AS choice UNION ALL
+  SELECT i, list_append(has, {fold}), choice FROM (
+    SELECT w.i, has, list_filter(list_transform(range(0, len(has) + 2), lambda n: CASE WHEN n = 0 THEN stem || ext ELSE stem || '_' || n || ext END),
+      lambda choice: NOT list_contains(has, {fold}))[1] AS choice FROM r JOIN w ON w.i = r.i + 1))
+SELECT page_id, choice AS {out} FROM r JOIN w USING (i)"""
+STEMS = "CASE WHEN page_id % 9 = 4 THEN 'p' || page_id % 7 || '_' || page_id % 5 WHEN page_id % 11 = 3 THEN 'p_1_1' ELSE 'p' || page_id % 7 END"
+
+
+def stems(p: Column) -> Column:
+    odd = F.concat(F.lit("p"), p % 7, F.lit("_"), p % 5)
+    return F.when(p % 9 == 4, odd).when(p % 11 == 3, "p_1_1").otherwise(F.concat(F.lit("p"), p % 7))
+
+
+@query(CLAIM.format(stem=STEMS, ext="'.html'", taken="['p3.html', 'p3_2.html', 'p6_1.html']", fold="choice", out="free"))
 def auto_rename(spark, sf_dir):
+    """Wanted names clash with generated ones and with files that are there."""
     pages = read(spark, sf_dir, "pages").select("page_id")
-    path = F.concat(F.lit("p"), F.col("page_id") % 7, F.lit(".html"))
-    return batch.free_names(pages, path, "page_id").select("page_id", "free")
+    path = F.concat(stems(F.col("page_id")), F.lit(".html"))
+    there = spark.createDataFrame([(x,) for x in ("p3.html", "p3_2.html", "p6_1.html")], "path string")
+    return batch.free_names(pages, path, "page_id", there)
 
 
-@query("""SELECT page_id, CASE WHEN rn = 1 THEN w ELSE w || '_' || (rn - 1) END AS destination FROM
-(SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'OUT' ELSE 'out' END || page_id % 5 AS w, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS rn FROM pages)""")
+@query(CLAIM.format(stem="CASE WHEN page_id % 2 = 0 THEN upper(" + STEMS + ") ELSE " + STEMS + " END", ext="''", taken="[]", fold="lower(choice)", out="destination"))
 def claimed_destinations(spark, sf_dir):
+    """Wanted names clash with generated ones, in upper and lower case."""
     pages = read(spark, sf_dir, "pages").select("page_id")
-    wanted = F.concat(F.when(F.col("page_id") % 2 == 0, "OUT").otherwise("out"), F.col("page_id") % 5)
-    return batch.claimed(pages, wanted, "page_id").select("page_id", "destination")
+    wanted = stems(F.col("page_id"))
+    return batch.claimed(pages, F.when(F.col("page_id") % 2 == 0, F.upper(wanted)).otherwise(wanted), "page_id")
 
 
 STATUS_SQL = "CASE event_type WHEN 'click' THEN 'Completed' WHEN 'view' THEN 'Completed' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'Failed' ELSE 'Skipped' END ELSE 'Completed' END"
@@ -436,10 +561,44 @@ def outcome_counts(spark, sf_dir):
     return batch.outcome_counts(outcomes(spark, sf_dir), ("user_id",))
 
 
-@query(f"""WITH o AS (SELECT user_id, {STATUS_SQL} AS status FROM events) SELECT user_id, CASE WHEN count(*) FILTER (status <> 'Completed') = 0 THEN 'Completed'
-WHEN count(*) FILTER (status = 'Failed') > 0 THEN 'Failed' ELSE 'Partial' END AS state FROM o GROUP BY user_id""")
+@query(f"""WITH o AS (SELECT user_id, CASE WHEN event_id % 31 = 0 THEN 'Cancelled' ELSE {STATUS_SQL} END AS status FROM events) SELECT user_id, CASE WHEN count(*) FILTER (status <> 'Completed') = 0 THEN 'Completed'
+WHEN count(*) FILTER (status = 'Cancelled') > 0 THEN 'Cancelled' WHEN count(*) FILTER (status = 'Failed') > 0 THEN 'Failed' ELSE 'Partial' END AS state FROM o GROUP BY user_id""")
 def batch_rollup(spark, sf_dir):
-    return batch.roll_up(outcomes(spark, sf_dir), ("user_id",))
+    stopped = F.when(F.col("event_id") % 31 == 0, "Cancelled").otherwise(F.col("status"))
+    return batch.roll_up(outcomes(spark, sf_dir).withColumn("status", stopped), ("user_id",))
+
+
+ERRORS = "CASE WHEN event_id % 2 = 0 THEN 'Output exists: ' || event_id ELSE 'disk full' END"
+
+
+@query(f"""WITH o AS (SELECT user_id % 50 + 100 * (user_id % 2) AS batch, {STATUS_SQL} AS status, {ERRORS} AS error FROM events WHERE event_id % 2 = 0 OR user_id % 4 < 2),
+c AS (SELECT batch, count(*) FILTER (status = 'Failed') AS failed, count(*) FILTER (status = 'Failed' AND starts_with(error, 'Output exists')) AS refused FROM o GROUP BY batch)
+SELECT batch, refused::BIGINT AS refused, CASE WHEN failed = 0 THEN 0 WHEN failed = refused THEN -11 ELSE -13 END AS exit_code FROM c""")
+def refusal_exit_codes(spark, sf_dir):
+    """Some batches have refusals only, some other failures too."""
+    e, u = F.col("event_id"), F.col("user_id")
+    error = F.when(e % 2 == 0, F.concat(F.lit("Output exists: "), e)).otherwise("disk full")
+    items = outcomes(spark, sf_dir).where((e % 2 == 0) | (u % 4 < 2)).withColumns({"error": error, "batch": u % 50 + 100 * (u % 2)})
+    refused = batch.refusals(items, "Output exists", ("batch",))
+    return refused.join(batch.exit_codes(items, "Output exists", ("batch",)), "batch")
+
+
+OUTCOMES = list(parsing.EXIT_CODES)
+
+
+@query("SELECT event_id, ([0, -1, -3, -4, -10, -11, -12, -13, -14, -15, -16, NULL])[(event_id % 12 + 1)::INT] AS code FROM events")
+def exit_codes(spark, sf_dir):
+    outcome = picked([*OUTCOMES, "unknown"], F.col("event_id"))
+    return read(spark, sf_dir, "events").select("event_id", parsing.exit_code(outcome).alias("code"))
+
+
+@query(f"""WITH o AS (SELECT event_id, {STATUS_SQL} AS status FROM events)
+SELECT event_id, status, CASE WHEN event_id % 3 = 0 THEN event_id END AS bytes FROM o""")
+def concatenated_results(spark, sf_dir):
+    """Result lists of three batches, of which only one tells bytes."""
+    o = outcomes(spark, sf_dir).select("event_id", "status")
+    e = F.col("event_id")
+    return batch.concatenated(o.where(e % 3 == 0).withColumn("bytes", e), o.where(e % 3 == 1), o.where(e % 3 == 2))
 
 
 @query("""SELECT event_id, least((count(*) OVER w - 1 + (event_id % 11) / 10.0) / 1000.0, 1.0)::DOUBLE AS batch_ratio FROM events
@@ -466,15 +625,18 @@ def tree_difference(spark, sf_dir):
     return tree.difference(ids.where("doc_id % 10 <> 1"), ids.where("doc_id % 10 <> 0"))
 
 
-@query("""SELECT o_orderkey, o_orderkey AS be, o_orderkey AS le, (o_orderkey % 65536 * 4294967296 + o_custkey)::BIGINT AS wide,
-o_orderkey <= 100000 AND o_custkey <= 100000 - o_orderkey AS inside FROM orders""")
+@query("""WITH h AS (SELECT o_orderkey, o_custkey, lpad(hex(o_orderkey), 8, '0') AS x FROM orders)
+SELECT o_orderkey, x AS be, substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) AS le, o_orderkey AS be_back, o_orderkey AS le_back,
+(o_orderkey % 65536 * 4294967296 + o_custkey)::BIGINT AS wide, o_orderkey <= 100000 AND o_custkey <= 100000 - o_orderkey AS inside FROM h""")
 def integers(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     total = F.lit(100_000).cast("bigint")
     return read(spark, sf_dir, "orders").select(
         "o_orderkey",
-        be_uint(be_bytes(k, 4), 0, 4).alias("be"),
-        le_uint(le_bytes(k, 4), 0, 4).alias("le"),
+        F.hex(be_bytes(k, 4)).alias("be"),
+        F.hex(le_bytes(k, 4)).alias("le"),
+        be_uint(be_bytes(k, 4), 0, 4).alias("be_back"),
+        le_uint(le_bytes(k, 4), 0, 4).alias("le_back"),
         low_high(c, k % 65536).alias("wide"),
         within(k, c, total).alias("inside"),
     )
@@ -511,24 +673,14 @@ def xxh64_digest(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", codec.xxh64(raw).alias("xxh64"), codec.xxh64(raw, 42).alias("seed_42"))
 
 
-@query(f"""WITH {LAYOUT}, b AS (SELECT unnest(range(off // 65536, (off + sz - 1) // 65536 + 1)) AS b FROM l WHERE sz > 0)
-SELECT DISTINCT b::BIGINT AS block_id, true AS sound FROM b""")
+@query("""WITH s AS (SELECT string_agg(hex(encode(coalesce(text, ''))), '' ORDER BY doc_id) AS x FROM documents),
+b AS (SELECT x, unnest(range(0, (length(x) + 131071) // 131072)) AS b FROM s)
+SELECT b::BIGINT AS block_id, sha256(rpad(substr(x, b * 131072 + 1, 131072), 131072, '0')) AS sha256 FROM b""")
 def compressed_blocks(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("content"))
+    rows = docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     made = archives.blocks(rows, "doc_id", "content")
-    plain = made.withColumn("raw", F.when(F.col("stored") < layout.BLOCK_SIZE, codec.decompress(F.col("payload"))).otherwise(F.col("payload")))
-    return plain.select("block_id", (F.octet_length("raw") == layout.BLOCK_SIZE).alias("sound"))
-
-
-@query(f"SELECT doc_id AS key, sha256(text) AS all_sha256, sha256(substr(hex(encode(text)), 2001, 1000)) AS range_sha256 FROM documents WHERE {SZ} >= 1500")
-def seekable_ranges(spark, sf_dir):
-    rows = docs(spark, sf_dir).where(F.octet_length("text") >= 1500).select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("raw"))
-    files = seekable.assemble(seekable.fixed_frames(rows, "key", F.col("raw"), 700), "key")
-    part = seekable.read_range(files, "key", 1000, 500)
-    whole = seekable.read_all(files, "key")
-    return part.select("key", F.sha2(F.hex("content"), 256).alias("range_sha256")).join(
-        whole.select("key", F.sha2("content", 256).alias("all_sha256")), "key"
-    )
+    plain = F.when(F.col("stored") < layout.BLOCK_SIZE, codec.decompress(F.col("payload"))).otherwise(F.col("payload"))
+    return made.select("block_id", F.sha2(F.hex(plain), 256).alias("sha256"))
 
 
 @query(f"""SELECT doc_id AS key, sha256(coalesce(text, '')) AS all_sha256,
@@ -547,15 +699,19 @@ def seekable_files(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all of a cluster sees: below the shared checkpoint folder, or a local one in tests."""
+    """A folder that all of a cluster sees: below the shared checkpoint folder. Only where that is unset
+    and the executors are threads of the driver, as in tests, it is a local one."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         return tempfile.mkdtemp(prefix="cairn-")
-    folder = os.path.join(base.removeprefix("file://"), f"archives-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    return folder
+    folder = f"{base}/archives-{uuid.uuid4().hex}"
+    system, path = at(folder)
+    system.create_dir(path, recursive=True)
+    return path if folder.startswith(("file:", "/")) else folder
 
 
 @query("SELECT page_id || '.html' AS name, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS size FROM pages")
@@ -582,3 +738,287 @@ def archive_listing(spark, sf_dir):
     return files.join(got.where("NOT is_file").select(F.col("path").alias("directory")), "directory").where(
         "directory <> 'site'"
     ).select(F.col("directory").alias("path"), "n_files", "n_bytes")
+
+
+LL = "[" + ", ".join(map(str, matching.least_lengths(matching.LITERAL_BITS))) + "]"
+ML = "[" + ", ".join(map(str, matching.least_lengths(matching.MATCH_BITS))) + "]"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN n > 63 THEN 19 + floor(log2(n))::INT ELSE len(list_filter({LL}, lambda x: x <= n)) - 1 END::INT AS literal,
+CASE WHEN m > 127 THEN 36 + floor(log2(m))::INT ELSE len(list_filter({ML}, lambda x: x <= m)) - 1 END::INT AS match, floor(log2(o))::INT AS off
+FROM (SELECT l_orderkey, l_linenumber, l_partkey * l_linenumber % 70000 AS n, l_suppkey * l_linenumber % 300 AS m, l_partkey + 3 AS o FROM lineitem)""")
+def length_codes(spark, sf_dir):
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        matching.literal_code(p * n % 70000).alias("literal"),
+        matching.match_code(s * n % 300).alias("match"),
+        matching.offset_code(p + 3).alias("off"),
+    )
+
+
+@query("""WITH s AS (SELECT o_orderkey, 2 + o_orderkey * 31 % 5000 AS n, o_custkey % 256 AS m FROM orders),
+l AS (SELECT *, floor(log2(n - 1))::INT - 2 AS a, least(floor(log2(n))::INT + 1, CASE WHEN m > 0 THEN floor(log2(m))::INT ELSE 0 END + 2) AS b FROM s)
+SELECT o_orderkey, least(greatest(CASE WHEN a >= 0 AND a < 11 THEN a ELSE 11 END, b, 5), 12)::INT AS log FROM l""")
+def table_logs(spark, sf_dir):
+    size, most = 2 + F.col("o_orderkey") * 31 % 5000, F.col("o_custkey") % 256
+    return read(spark, sf_dir, "orders").select("o_orderkey", matching.table_log(size, most).alias("log"))
+
+
+@query("""WITH q AS (SELECT *, o - 1 + z AS a FROM (SELECT o_orderkey, [1 + o_orderkey % 9, 4, 8 + o_custkey % 5]::BIGINT[] AS h, 1 + o_orderkey % 7 AS o, (o_custkey % 2)::INT AS z FROM orders)),
+u AS (SELECT *, CASE WHEN o > 3 THEN o - 3 WHEN a = 3 THEN h[1] - 1 ELSE h[a + 1] END AS used FROM q)
+SELECT o_orderkey, used::BIGINT AS used, array_to_string(CASE WHEN o <= 3 AND a = 0 THEN h ELSE [used, h[1], CASE WHEN o <= 3 AND a < 2 THEN h[3] ELSE h[2] END] END, ',') AS history FROM u""")
+def offset_histories(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    history = F.array((1 + k % 9).cast("bigint"), F.lit(4).cast("bigint"), (8 + c % 5).cast("bigint"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", history.alias("h"), (1 + k % 7).alias("o"), (c % 2).alias("z"))
+    after = matching.next_history(F.col("h"), F.col("o"), F.col("z"))
+    return rows.select(
+        "o_orderkey", matching.raw_offset(F.col("h"), F.col("o"), F.col("z")).alias("used"), F.array_join(after, ",").alias("history")
+    )
+
+
+def hash_sql(k: int) -> str:
+    """A column of the hash of ``k`` bytes of x, as many bits as 17."""
+    bytes_ = " + ".join(f"('0x' || substr(x, {2 * i + 1}, 2))::UHUGEINT * {1 << 8 * (i + (0 if k == 4 else 8 - k))}" for i in range(k))
+    size = 32 if k == 4 else 64
+    return f"((({bytes_}) * {matching.PRIMES[k]}::UHUGEINT % {1 << size}::UHUGEINT) // {1 << (size - 17)}::UHUGEINT)::BIGINT AS hash_{k}"
+
+
+@query(f"WITH d AS (SELECT doc_id, rpad(hex(encode(coalesce(text, ''))), 16, '0') AS x FROM documents) SELECT doc_id, {', '.join(map(hash_sql, matching.PRIMES))} FROM d")
+def byte_hashes(spark, sf_dir):
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    hashes = [matching.hash_bytes(raw, F.lit(0), 17, k).alias(f"hash_{k}") for k in matching.PRIMES]
+    return docs(spark, sf_dir).select("doc_id", *hashes)
+
+
+@query(r"""WITH t AS (SELECT doc_id, 'at C:\Users\Ann\x, c:/users/ann/y by ann, Anna; ANN' || doc_id || ' ann.' || substr(text, 1, 40) AS t FROM documents),
+p AS (SELECT doc_id, replace(replace(t, 'C:\Users\Ann', chr(1)), 'c:/users/ann', chr(1)) AS t FROM t)
+SELECT doc_id, replace(regexp_replace(t, '(^|[^\pL\p{Nd}])(?i:ann)($|[^\pL\p{Nd}])', '\1[user]\2', 'g'), chr(1), '%USERPROFILE%') AS clean FROM p""")
+def sanitized_reports(spark, sf_dir):
+    report = F.concat(
+        F.lit("at C:\\Users\\Ann\\x, c:/users/ann/y by ann, Anna; ANN"), "doc_id", F.lit(" ann."), F.substring("text", 1, 40)
+    )
+    return docs(spark, sf_dir).select("doc_id", reports.sanitized(report, "ann", "C:\\Users\\Ann").alias("clean"))
+
+
+@query("""SELECT doc_id, replace(to_json('"' || chr(9) || chr(1) || '\\' || substr(text, 1, 300) || chr(31))::VARCHAR, '\\u001F', '\\u001f') AS json FROM documents""")
+def json_strings(spark, sf_dir):
+    text = F.concat(F.lit('"\t\x01\\'), F.substring("text", 1, 300), F.lit("\x1f"))
+    return docs(spark, sf_dir).select("doc_id", reports.json_string(text).alias("json"))
+
+
+DICTIONARY = b"the quick brown fox jumps over the lazy dog and the end of the line. " * 40
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS plain, sha256(coalesce(text, '')) AS with_dictionary, sha256(coalesce(text, '') || coalesce(text, '')) AS twice,
+CASE WHEN octet_length(encode(coalesce(text, ''))) <= 1000 THEN sha256(coalesce(text, '')) END AS bounded FROM documents""")
+def codec_forms(spark, sf_dir):
+    """A stream's frame, a frame with a dictionary, several frames with a skippable one, and a bound."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    skip = F.unhex(F.lit("502A4D1803000000616263"))
+    made = docs(spark, sf_dir).select(
+        "doc_id",
+        codec.compress(raw, "zstd-stream", level=3).alias("s"),
+        codec.compress(raw, "zstd", level=6, dict_data=DICTIONARY).alias("d"),
+        codec.compress(raw, "zstd", level=1, checksum=True).alias("z"),
+    )
+    sha = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id",
+        sha(codec.decompress(F.col("s"))).alias("plain"),
+        sha(codec.decompress(F.col("d"), dict_data=DICTIONARY)).alias("with_dictionary"),
+        sha(codec.decompress(F.concat("s", skip, "z"))).alias("twice"),
+        sha(codec.decompress(F.col("s"), most=1000, fail=False)).alias("bounded"),
+    )
+
+
+def packed_pages(spark, sf_dir) -> str:
+    """An archive of all pages, in seven folders."""
+    target = f"{scratch(spark)}/pages.zar"
+    path = F.concat(F.lit("site/"), F.col("page_id") % 7, F.lit("/"), F.col("page_id"), F.lit(".html"))
+    archives.pack(read(spark, sf_dir, "pages").select(path.alias("path"), F.col("html").cast("binary").alias("content")), target)
+    return target
+
+
+PAGE = "'site/' || page_id % 7 || '/' || page_id || '.html'"
+
+
+@query(f"""WITH p AS (SELECT {PAGE} AS path, page_id, hex(encode(html)) AS x FROM pages)
+SELECT path, "start", sha256(substr(x, 2 * "start" + 1, 600)) AS sha256 FROM p, (VALUES (0::BIGINT), (50), (700), (100000)) s("start")""")
+def archive_ranges(spark, sf_dir):
+    """300 bytes of each file of an archive from four places on, the last past the end of most."""
+    target = packed_pages(spark, sf_dir)
+    files_ = archives.entries(spark, target).where("is_file").select("path")
+    starts = F.array(*[F.lit(x).cast("bigint") for x in (0, 50, 700, 100_000)])
+    asked = files_.select(F.upper("path").alias("asked"), "path", F.explode(starts).alias("start")).withColumn("length", F.lit(300))
+    got = archives.read_ranges(asked, target, "asked")
+    return got.select("path", "start", F.sha2(F.hex("content"), 256).alias("sha256"))
+
+
+@query("""SELECT (page_id % 7)::VARCHAR AS folder, page_id || '.html' AS name, sha256(html) AS sha256,
+(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id || '.html') - 1)::INT AS place FROM pages""")
+def extracted_batches(spark, sf_dir):
+    """An archive is extracted, each of its folders is packed again by a batch, extracted and read."""
+    target = packed_pages(spark, sf_dir)
+    top = os.path.dirname(target)
+    archives.extract(target, f"{top}/out")
+    rows = [(f"{top}/out/site/{i}", f"{top}/again/{i}.zar") for i in range(7)]
+    os.makedirs(f"{top}/again")
+    items = spark.createDataFrame([r for r in rows if os.path.isdir(r[0])], "source string, destination string").repartition(4)
+    done = archives.batch(items, "pack").where("status = 'Completed'").collect()
+    back = spark.createDataFrame([(r.destination, f"{top}/back/{os.path.basename(r.source)}") for r in done], "source string, destination string")
+    done = archives.batch(back.repartition(4), "extract", delete_source=True).where("status = 'Completed'").collect()
+    parts = []
+    for r in done:
+        listed = archives.source(spark, r.destination).select("path", "content")
+        names = spark.createDataFrame([(p, i) for i, (p, _) in enumerate(archives.walk(r.destination))], "path string, place int")
+        parts.append(listed.join(names, "path").withColumn("folder", F.lit(os.path.basename(r.destination))))
+    return batch.concatenated(*parts).select("folder", F.col("path").alias("name"), F.sha2("content", 256).alias("sha256"), "place")
+
+
+FAILURES = ["None", "TooSmall", "BadMagic", "UnsupportedVersion", "LengthMismatch", "SectionOutOfRange", "BadOffsetRecords", "BadFileTree", "BadFileTree", "TooSmall"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FAILURES)) + ") t(id, failure)")
+def open_failures(spark, sf_dir):
+    """Archives as BINARY values, damaged in several ways."""
+    with open(packed_pages(spark, sf_dir), "rb") as f:
+        good = f.read()
+    foot = len(good) - 144
+
+    def put(place: int, data: bytes) -> bytes:
+        return good[:place] + data + good[place + len(data) :]
+
+    records = int.from_bytes(good[foot + 24 : foot + 32], "big")
+    tree_at = int.from_bytes(good[foot + 48 : foot + 56], "big")
+    damaged = [
+        good,
+        good[:144],
+        put(len(good) - 4, b"\0"),
+        put(len(good) - 8, b"\0"),
+        b"x" + good,
+        put(foot, b"\x7f"),
+        put(foot + 24, (records - 1).to_bytes(8, "big")),
+        put(foot + 56, bytes(8)),
+        put(tree_at, b"\xff"),
+        None,
+    ]
+    rows = spark.createDataFrame([(str(i), None if d is None else bytearray(d)) for i, d in enumerate(damaged)], "id string, data binary")
+    got = archives.entries_in(rows, "id", "data").groupBy(F.col("archive").cast("int").alias("id"))
+    return got.agg(F.coalesce(F.max("failure"), F.lit("None")).alias("failure"))
+
+
+@query("""SELECT (page_id % 7)::VARCHAR || '/' || page_id || '.html' AS name, greatest(1, (octet_length(encode(html)) + 999) // 1000)::BIGINT AS n_frames,
+octet_length(encode(html))::BIGINT AS total_decomp, least(octet_length(encode(html)), 1000)::BIGINT AS max_decomp, sha256(html) AS sha256 FROM pages""")
+def file_verbs(spark, sf_dir):
+    """Files compressed as seekable ones, listed by their tails and decompressed again."""
+    target = packed_pages(spark, sf_dir)
+    top = os.path.dirname(target)
+    archives.extract(target, f"{top}/out")
+    names = [p for p, f in archives.walk(f"{top}/out/site") if f is not None]
+    for i in range(7):
+        os.makedirs(f"{top}/z/{i}"), os.makedirs(f"{top}/back/{i}")
+    kind = "source string, destination string"
+    items = spark.createDataFrame([(f"{top}/out/site/{n}", f"{top}/z/{n}.zst") for n in names], kind).repartition(8)
+    made = files.compress_files(items, frame_size=1000).where("status = 'Completed'").select("destination").collect()
+    made = spark.createDataFrame(made, "path string").repartition(8)
+    listed = files.list_files(made)
+    back = made.select(F.col("path").alias("source"), F.regexp_replace(F.replace("path", F.lit(f"{top}/z/"), F.lit(f"{top}/back/")), r"\.zst$", "").alias("destination"))
+    done = files.decompress_files(back).where("status = 'Completed'").count()
+    if done != len(names):
+        raise ValueError(f"{len(names) - done} files did not come back")
+    plain = archives.source(spark, f"{top}/back").where("NOT is_dir")
+    name = F.regexp_replace(F.replace("path", F.lit(f"{top}/z/"), F.lit("")), r"\.zst$", "")
+    sizes = listed.select(name.alias("name"), "n_frames", "total_decomp", "max_decomp")
+    return sizes.join(plain.select(F.col("path").alias("name"), F.sha2("content", 256).alias("sha256")), "name")
+
+
+def streamed(spark, chunks: DataFrame, run) -> DataFrame:
+    """What a streaming query makes of chunks that lie in a folder."""
+    top = scratch(spark)
+    chunks.coalesce(1).write.parquet(f"{top}/in")
+    made = run(spark.readStream.schema(chunks.schema).parquet(f"{top}/in"))
+    writer = made.writeStream.format("parquet").option("checkpointLocation", f"{top}/check")
+    writer.trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{top}/out")
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    """Conversations as chunks of a stream."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("key"),
+        F.col("turn").cast("bigint").alias("seq"),
+        F.col("text").cast("binary").alias("data"),
+        (F.row_number().over(w) == 1).alias("last"),
+    )
+
+
+SAID = "c AS (SELECT conv_id::VARCHAR AS key, string_agg(hex(encode(coalesce(text, ''))), '' ORDER BY turn) AS x FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""WITH {SAID}, f AS (SELECT key, x, unnest(range(0, greatest(1, (length(x) // 2 + 63) // 64))) AS k FROM c)
+SELECT key, k::BIGINT AS frame_id, (length(substr(x, k * 128 + 1, 128)) // 2)::BIGINT AS d_size, sha256(substr(x, k * 128 + 1, 128)) AS sha256 FROM f""")
+def stream_frames(spark, sf_dir):
+    got = streamed(spark, turns(spark, sf_dir), lambda s: streams.frame_stream(s, 64))
+    return got.select("key", "frame_id", "d_size", F.sha2(F.hex(codec.decompress(F.col("payload"))), 256).alias("sha256"))
+
+
+@query(f"WITH {SAID} SELECT key, 1::BIGINT AS n_frames, (length(x) // 2)::BIGINT AS size, sha256(x) AS sha256 FROM c")
+def stream_measured(spark, sf_dir):
+    """Frames by compressed size: none of these streams fills one."""
+    got = streamed(spark, turns(spark, sf_dir), lambda s: streams.measured_stream(s, 1 << 20))
+    plain = got.select("key", "frame_id", "d_size", F.hex(codec.decompress(F.col("payload"))).alias("x"))
+    return plain.groupBy("key").agg(
+        F.count("*").alias("n_frames"), F.sum("d_size").alias("size"), F.sha2(F.max("x"), 256).alias("sha256")
+    )
+
+
+@query(f"WITH {SAID} SELECT key, (length(x) // 2)::BIGINT AS size, sha256(x) AS sha256 FROM c WHERE x <> ''")
+def stream_decode(spark, sf_dir):
+    """Files of several frames, cut into chunks of 50 bytes and decoded as they come."""
+    frames_ = turns(spark, sf_dir).select("key", "seq", codec.compress(F.coalesce("data", F.unhex(F.lit(""))), "zstd-stream").alias("z"))
+    whole = frames_.groupBy("key").agg(seekable.joined_bytes("z", "seq").alias("z"))
+    n = F.ceil(F.octet_length("z") / 50).cast("int")
+    cut = whole.select("key", "z", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    chunks = cut.select(
+        "key", F.col("i").cast("bigint").alias("seq"), F.substring("z", F.col("i") * 50 + 1, F.lit(50)).alias("data"), (F.col("i") == F.col("n") - 1).alias("last")
+    )
+    got = streamed(spark, chunks, streams.decode_stream)
+    plain = got.groupBy("key").agg(seekable.joined_bytes("content", "`offset`").alias("content"), F.max("failure").alias("failure"))
+    return plain.where("failure IS NULL").select(
+        "key", F.octet_length("content").cast("bigint").alias("size"), F.sha2(F.hex("content"), 256).alias("sha256")
+    )
+
+
+@query(f"""WITH o AS (SELECT ts, {STATUS_SQL} AS status, event_id % 1000 AS bytes FROM events),
+w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, * FROM o)
+SELECT epoch(s)::BIGINT AS start, count(*)::BIGINT AS n, count(*) FILTER (status = 'Failed')::BIGINT AS failed, sum(bytes)::BIGINT AS bytes FROM w GROUP BY s""")
+def stream_progress(spark, sf_dir):
+    """Progress by the hour, over all events; the last hours are given as the stream ends."""
+    done = outcomes(spark, sf_dir).select("event_id", "status").join(read(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    rows = done.select(F.col("ts").cast("timestamp").alias("ts"), "status", (F.col("event_id") % 1000).alias("bytes"))
+    top = scratch(spark)
+    rows.coalesce(1).write.parquet(f"{top}/in")
+    made = streams.progress(spark.readStream.schema(rows.schema).parquet(f"{top}/in"), "10 minutes", "1 hour")
+    name = f"progress_{uuid.uuid4().hex}"
+    made.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{top}/check").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return spark.table(name).select(F.unix_timestamp("start").alias("start"), "n", "failed", "bytes")
+
+
+@query("SELECT page_id || '.html' AS name, octet_length(encode(html))::BIGINT AS length, sha256(html) AS sha256 FROM pages")
+def stream_arrivals(spark, sf_dir):
+    """Files that arrive in a directory."""
+    target = packed_pages(spark, sf_dir)
+    top = os.path.dirname(target)
+    archives.extract(target, f"{top}/out")
+    made = streams.arriving_files(spark, f"{top}/out/site/*", ".html")
+    made.writeStream.format("parquet").option("checkpointLocation", f"{top}/check").trigger(availableNow=True).start(
+        f"{top}/seen"
+    ).awaitTermination()
+    seen = spark.read.parquet(f"{top}/seen")
+    return seen.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))

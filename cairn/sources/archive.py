@@ -2,7 +2,9 @@
 
 Reading lists the entries of archives, with or without their content. Each file of a path is one
 partition of entries or, when content is asked for, several: runs of entries of about equal bytes,
-each of which reads only the blocks it needs. Writing gathers one archive from rows sorted by path.
+each of which reads only the blocks it needs, and each block once. Writing gathers one archive from
+blocks that other tasks have compressed, or from files. Places are paths or URIs that Arrow's file
+systems reach; of an archive only the footer, the tables and the blocks asked for are read.
 """
 
 from __future__ import annotations
@@ -11,11 +13,15 @@ import hashlib
 import io
 import os
 import struct
-from collections import deque
-from collections.abc import Iterator
+import uuid
+from collections import OrderedDict, deque
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cairn.functions.codec import REGISTRY, decode_exact
@@ -25,6 +31,7 @@ from cairn.functions.latin import decode_1252, encode_1252
 BLOCK, SLOTS, RECORD, NODE, FOOTER = 65536, 16, 40, 16, 144
 MAGIC, VERSION, ROOT_NAME = 0x169F52D6, 0x61BF3A01, 0x7FFFFFFF
 FILE_FLAG, MAX_NAME, MAX_DEPTH = 0x80000000, 0x7FFF, 1024
+MAX_NAMES = 0x7FFFFFFF
 SECTIONS = ("data", "records", "names", "tree", "meta_directory", "meta_data")
 
 
@@ -45,12 +52,31 @@ class Entry:
     safe: bool
 
 
-class Archive:
-    """An opened archive over a seekable binary file."""
+def at(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if "://" not in place and not place.startswith("file:"):
+        return fs.LocalFileSystem(), os.path.abspath(place)
+    scheme, rest = place.split(":", 1)
+    found, path = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+    return found, path
+
 
-    def __init__(self, file: io.BufferedIOBase, extended_names: bool = True):
-        self.file = file
-        size = file.seek(0, os.SEEK_END)
+class Archive:
+    """An opened archive over a seekable binary file, or the bytes of one.
+
+    ``cache_blocks`` decoded blocks are kept, the last used ones, so that small files of one block
+    and reads in small steps decode it once.
+    """
+
+    def __init__(self, file: io.BufferedIOBase | bytes, extended_names: bool = True, cache_blocks: int = 16):
+        if isinstance(file, bytes | bytearray | memoryview):
+            file = io.BytesIO(file)
+        if file is None or not file.readable() or not file.seekable():
+            raise OpenFailure("InvalidStream")
+        self.file, self.cache_blocks = file, cache_blocks
+        self.cache: OrderedDict[int, bytes] = OrderedDict()
+        file.seek(0, os.SEEK_END)
+        size = file.tell()
         if size <= FOOTER:
             raise OpenFailure("TooSmall")
         foot = self._read(size - FOOTER, FOOTER)
@@ -72,6 +98,8 @@ class Archive:
             raise OpenFailure("BadOffsetRecords")
         raw = self._read(at, n)
         self.records = [struct.unpack_from(">Q16H", raw, i) for i in range(0, n, RECORD)]
+        if self.sections["names"][1] > MAX_NAMES:
+            raise OpenFailure("BadNameTable")
         self.names = self._read(*self.sections["names"])
         at, n = self.sections["tree"]
         if not n or n % NODE:
@@ -129,6 +157,9 @@ class Archive:
 
     def block(self, i: int) -> bytes | None:
         """A decoded block, null if it is out of range or broken."""
+        if i in self.cache:
+            self.cache.move_to_end(i)
+            return self.cache[i]
         if i >= len(self.records) * SLOTS:
             return None
         base, *sizes = self.records[i // SLOTS]
@@ -138,9 +169,18 @@ class Archive:
             return None
         try:
             data = self._read(self.base + at, n)
-            return data if n == BLOCK else decode_exact(data, BLOCK)
+            data = data if n == BLOCK else decode_exact(data, BLOCK)
         except Exception:
             return None
+        if self.cache_blocks:
+            self.cache[i] = data
+            if len(self.cache) > self.cache_blocks:
+                self.cache.popitem(last=False)
+        return data
+
+    def open(self, entry: Entry) -> EntryStream:
+        """A file of the archive as a seekable stream."""
+        return EntryStream(self, entry)
 
     def read(self, offset: int, size: int, start: int = 0, length: int | None = None) -> bytes:
         """Bytes of a file from ``start``, clamped to its size; a broken block makes the read short."""
@@ -158,7 +198,8 @@ class Archive:
 
     def verify(self) -> bool:
         """Whether the footer's digest is that of the file (readers of the format need not look)."""
-        size = self.file.seek(0, os.SEEK_END)
+        self.file.seek(0, os.SEEK_END)
+        size = self.file.tell()
         h = hashlib.sha256()
         self.file.seek(0)
         left = size - FOOTER
@@ -172,6 +213,37 @@ class Archive:
         return h.digest() == self.hash
 
 
+class EntryStream(io.RawIOBase):
+    """Reads a file of an archive from any place on; only the blocks that a read touches are decoded."""
+
+    def __init__(self, archive: Archive, entry: Entry):
+        self.archive, self.entry, self.place = archive, entry, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.place
+
+    def seek(self, offset: int, whence: int = os.SEEK_SET) -> int:
+        place = offset + {os.SEEK_SET: 0, os.SEEK_CUR: self.place, os.SEEK_END: self.entry.size}[whence]
+        if place < 0:
+            raise ValueError("negative place")
+        self.place = place
+        return place
+
+    def readinto(self, buffer) -> int:
+        data = self.archive.read(self.entry.offset, self.entry.size, self.place, len(buffer))
+        if not data and len(buffer) and self.place < self.entry.size:
+            raise OSError("broken block")
+        buffer[: len(data)] = data
+        self.place += len(data)
+        return len(data)
+
+
 def is_safe(name: str) -> bool:
     """Whether a name is one plain component that may become a file's name."""
     stem = name.split(".")[0].upper()
@@ -189,21 +261,27 @@ def folded(name: bytes) -> bytes:
 class ArchiveBuilder:
     """Writes one archive to a binary file, files in the order they are added."""
 
-    def __init__(self, out: io.BufferedIOBase, codec: str = "zstd", **options):
+    def __init__(self, out: io.BufferedIOBase, codec: str = "zstd", names: Iterable[str] = (), parallelism: int = 1, **options):
+        """``names`` come first in the name table, in this order; ``parallelism`` threads compress."""
         self.out, self.sha, self.at = out, hashlib.sha256(), 0
-        self.codec = REGISTRY[codec](**options)
+        self.codecs = [REGISTRY[codec](**options) for _ in range(parallelism)]
+        self.threads = ThreadPoolExecutor(parallelism) if parallelism > 1 else None
+        self.queue: deque = deque()
+        self.blocks = 0
         self.pending = bytearray()
         self.stream = 0
         self.stored: list[tuple[int, int]] = []
         self.root: dict = {"kids": {}, "name": b""}
         self.name_order: dict[bytes, int] = {}
+        for name in names:
+            self.name_order.setdefault(encode_1252(name[:MAX_NAME]), len(self.name_order))
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
         self.sha.update(data)
         self.at += len(data)
 
-    def _node(self, path: str, is_file: bool) -> dict:
+    def _node(self, path: str, is_file: bool, parents: bool = True) -> dict:
         parts = [p for p in path.replace("\\", "/").split("/") if p]
         if not parts and is_file:
             raise ValueError("a file needs a name")
@@ -212,6 +290,8 @@ class ArchiveBuilder:
             raw = encode_1252(part[:MAX_NAME])
             last = k + 1 == len(parts)
             kid = node["kids"].get(folded(raw))
+            if kid is None and not last and not parents:
+                raise ValueError(f"no such directory: {'/'.join(parts[: k + 1])}")
             if kid is None:
                 self.name_order.setdefault(raw, len(self.name_order))
                 kid = {"name": raw, "kids": None if last and is_file else {}}
@@ -221,28 +301,56 @@ class ArchiveBuilder:
             node = kid
         return node
 
-    def add_directory(self, path: str) -> None:
-        self._node(path, False)
+    def add_directory(self, path: str, parents: bool = True) -> None:
+        """Makes a directory, with those above it unless ``parents`` is off; one that is there stays."""
+        self._node(path, False, parents)
 
-    def add_file(self, path: str, content: bytes) -> None:
-        node = self._node(path, True)
-        node["offset"], node["size"] = self.stream, len(content)
+    def add_file(self, path: str, content: bytes = b"") -> None:
+        """Begins a file; ``append`` adds to the one begun last."""
+        self.last = self.add_entry(path, 0)
+        self.append(content)
+
+    def append(self, content: bytes) -> None:
+        self.last["size"] += len(content)
         self.stream += len(content)
         self.pending += content
         while len(self.pending) >= BLOCK:
             self._block(bytes(self.pending[:BLOCK]))
             del self.pending[:BLOCK]
 
+    def add_entry(self, path: str, size: int) -> dict:
+        """A file whose content is in the blocks already, ``size`` bytes after the last one's."""
+        node = self._node(path, True)
+        node["offset"], node["size"] = self.stream, size
+        self.stream += size
+        return node
+
+    def add_block(self, payload: bytes) -> None:
+        """A block that is compressed already, or raw."""
+        self.stored.append((self.at, len(payload)))
+        self._put(payload)
+
+    def _compress(self, data: bytes, k: int) -> bytes:
+        packed = self.codecs[k](data)
+        return data if packed is None or len(packed) >= BLOCK else packed
+
     def _block(self, data: bytes) -> None:
-        at, packed = self.at, self.codec(data)
-        if packed is None or len(packed) >= BLOCK:
-            packed = data
-        self._put(packed)
-        self.stored.append((at, len(packed)))
+        if self.threads is None:
+            self.add_block(self._compress(data, 0))
+            return
+        # a codec serves one block at a time: the one it had before has left the queue by then
+        if len(self.queue) == len(self.codecs):
+            self.add_block(self.queue.popleft().result())
+        self.queue.append(self.threads.submit(self._compress, data, self.blocks % len(self.codecs)))
+        self.blocks += 1
 
     def finish(self) -> None:
         if self.pending:
             self._block(bytes(self.pending).ljust(BLOCK, b"\0"))
+        while self.queue:
+            self.add_block(self.queue.popleft().result())
+        if self.threads is not None:
+            self.threads.shutdown()
         sections = [(0, self.at)]
         self._put(bytes(-self.at % 8))
         begin = self.at
@@ -279,10 +387,17 @@ class ArchiveBuilder:
         self.out.write(foot + self.sha.digest() + tail)
 
 
-def open_failure(path: str, extended_names: bool = True) -> tuple[Archive | None, str]:
-    """An archive and no failure, or none and why."""
+def open_failure(place: str | bytes | io.IOBase, extended_names: bool = True, cache_blocks: int = 16) -> tuple[Archive | None, str]:
+    """An archive and no failure, or none and why: of a path or URI, of bytes, or of a stream."""
     try:
-        return Archive(open(path, "rb"), extended_names), "None"
+        if isinstance(place, str):
+            if not place or "\0" in place:
+                return None, "InvalidPath"
+            system, path = at(place)
+            if system.get_file_info(path).type == fs.FileType.NotFound:
+                return None, "FileNotFound"
+            place = system.open_input_file(path)
+        return Archive(place, extended_names, cache_blocks), "None"
     except OpenFailure as e:
         return None, e.code
     except FileNotFoundError:
@@ -295,19 +410,21 @@ def open_failure(path: str, extended_names: bool = True) -> tuple[Archive | None
         return None, "ReadError"
 
 
-def listed(path: str, suffix: str) -> list[str]:
+def listed(place: str, suffix: str) -> list[str]:
     """Files of a folder, of its folders too, in order; a file is itself."""
-    if not os.path.isdir(path):
-        return [path]
-    found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(suffix)]
-    return sorted(found)
+    system, path = at(place)
+    if system.get_file_info(path).type != fs.FileType.Directory:
+        return [place]
+    local = isinstance(system, fs.LocalFileSystem)
+    head = "" if local else place.split("://")[0] + "://"
+    found = system.get_file_info(fs.FileSelector(path, recursive=True))
+    return sorted(head + f.path for f in found if f.is_file and f.path.endswith(suffix))
 
 
 @dataclass
 class Part(InputPartition):
     path: str
-    first: int
-    stop: int | None
+    entries: list[Entry] | None
 
 
 class ArchiveReader(DataSourceReader):
@@ -320,51 +437,74 @@ class ArchiveReader(DataSourceReader):
         self.mode = options.get("mode", "PERMISSIVE").upper()
         self.extended = options.get("decodeExtendedNames", "true").lower() != "false"
         self.bytes = int(options.get("partitionBytes", 64 << 20))
+        self.cache = int(options.get("cacheBlocks", 16))
+        self.prefix = options.get("prefix", "")
+
+    def wanted(self, archive: Archive) -> list[Entry]:
+        return [e for e in archive.entries() if e.path.startswith(self.prefix)]
 
     def partitions(self) -> list[Part]:
+        """Archives are only opened here if their content is to be spread over tasks."""
+        if "content" not in self.names:
+            return [Part(path, None) for path in listed(self.path, self.suffix)]
         parts = []
         for path in listed(self.path, self.suffix):
-            archive, _ = open_failure(path, self.extended)
-            if archive is None or "content" not in self.names:
-                parts.append(Part(path, 0, None))
+            archive, _ = open_failure(path, self.extended, 0)
+            if archive is None:
+                parts.append(Part(path, None))
                 continue
-            first, size = 0, 0
-            entries = archive.entries()
-            for i, e in enumerate(entries):
+            run, size = [], 0
+            for e in self.wanted(archive):
+                run.append(e)
                 size += e.size
                 if size >= self.bytes:
-                    parts.append(Part(path, first, i + 1))
-                    first, size = i + 1, 0
-            if first < len(entries) or not entries:
-                parts.append(Part(path, first, len(entries)))
+                    parts.append(Part(path, run))
+                    run, size = [], 0
+            parts += [Part(path, run)] * bool(run)
         return parts
 
-    def read(self, part: Part) -> Iterator[tuple]:
-        archive, failure = open_failure(part.path, self.extended)
-        row = dict.fromkeys(self.names)
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        archive, failure = open_failure(part.path, self.extended, self.cache)
         if archive is None:
             if self.mode == "FAILFAST":
                 raise OpenFailure(failure)
-            row |= {k: v for k, v in (("archive", part.path), ("failure", failure)) if k in row}
-            yield tuple(row[n] for n in self.names)
+            yield batch_of(self.names, part.path, [None], [None], failure)
             return
-        for e in archive.entries()[part.first : part.stop]:
+        entries = self.wanted(archive) if part.entries is None else part.entries
+        run, contents, size = [], [], 0
+        for e in entries:
             content = None
-            if "content" in row and e.is_file:
+            if "content" in self.names and e.is_file:
                 content = archive.read(e.offset, e.size)
                 if len(content) != e.size and self.mode == "FAILFAST":
                     raise OpenFailure("ReadError")
-            values = {
-                "archive": part.path,
-                "path": e.path,
-                "is_file": e.is_file,
-                "offset": e.offset if e.is_file else None,
-                "size": e.size,
-                "safe": e.safe,
-                "content": content,
-                "failure": None,
-            }
-            yield tuple(values[n] for n in self.names)
+            run.append(e)
+            contents.append(content)
+            size += len(content or b"")
+            if size >= BATCH or len(run) >= 10_000:
+                yield batch_of(self.names, part.path, run, contents)
+                run, contents, size = [], [], 0
+        if run:
+            yield batch_of(self.names, part.path, run, contents)
+
+
+#: Bytes of content that leave a reader at once.
+BATCH = 4 << 20
+
+
+def batch_of(names: list[str], archive: str, entries: list, contents: list, failure: str | None = None) -> pa.RecordBatch:
+    """Entries as the columns that are wanted; one that is None stands for an archive that failed."""
+    columns = {
+        "archive": (pa.string(), lambda: [archive] * len(entries)),
+        "path": (pa.string(), lambda: [e and e.path for e in entries]),
+        "is_file": (pa.bool_(), lambda: [e and e.is_file for e in entries]),
+        "offset": (pa.int64(), lambda: [e.offset if e and e.is_file else None for e in entries]),
+        "size": (pa.int64(), lambda: [e and e.size for e in entries]),
+        "safe": (pa.bool_(), lambda: [e and e.safe for e in entries]),
+        "content": (pa.binary(), lambda: contents),
+        "failure": (pa.string(), lambda: [failure] * len(entries)),
+    }
+    return pa.RecordBatch.from_arrays([pa.array(columns[n][1](), columns[n][0]) for n in names], names)
 
 
 @dataclass
@@ -372,26 +512,39 @@ class Written(WriterCommitMessage):
     rows: list
 
 
-class ArchiveWriter(DataSourceWriter):
-    """Rows ``(path, content)``; null content is a directory. One task writes the archive, so sort the
-    rows and bring them to one partition; content is streamed through, a block at a time."""
+class ArchiveWriter(DataSourceArrowWriter):
+    """Writes rows ``(path, content)``, null content being a directory, or rows ``(path, size, content)``:
+    of those without a path, content is a stored block, and the ones with a path come after all blocks
+    and name the files, in order, whose ``size`` bytes each the blocks hold (null size: a directory).
+
+    One task writes the archive, so sort the rows and bring them to one partition. Content passes
+    through; what stays in memory is the tree of names and a place for each block.
+    """
 
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
-        self.names = schema.names
+        self.stored = "size" in schema.names
         self.path, self.codec = options["path"], options.get("codec", "zstd")
         self.level, self.overwrite = int(options.get("level", 6)), overwrite
+        self.parallelism = int(options.get("parallelism", 1))
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        temp, out, builder = f"{self.path}.{os.getpid()}.part", None, None
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, path = at(self.path)
+        temp, out, builder = f"{path}.{uuid.uuid4().hex}.part", None, None
+        options = {"level": self.level} if self.codec == "zstd" else {}
         try:
-            for row in rows:
+            for batch in batches:
                 if builder is None:
-                    out = open(temp, "wb")
-                    builder = ArchiveBuilder(out, self.codec, **({"level": self.level} if self.codec == "zstd" else {}))
-                if row["content"] is None:
-                    builder.add_directory(row["path"])
-                else:
-                    builder.add_file(row["path"], bytes(row["content"]))
+                    out = system.open_output_stream(temp, compression=None)
+                    builder = ArchiveBuilder(out, self.codec, parallelism=self.parallelism, **options)
+                for name, size, content in self._rows(batch):
+                    if self.stored and name is None:
+                        builder.add_block(content)
+                    elif self.stored and size is not None:
+                        builder.add_entry(name, size)
+                    elif self.stored or content is None:
+                        builder.add_directory(name)
+                    else:
+                        builder.add_file(name, content)
             if builder is None:
                 return Written([])
             builder.finish()
@@ -400,27 +553,35 @@ class ArchiveWriter(DataSourceWriter):
         except BaseException:
             if out is not None:
                 out.close()
-                os.unlink(temp)
+                system.delete_file(temp)
             raise
 
+    def _rows(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        names, contents = batch.column("path").to_pylist(), batch.column("content")
+        sizes = batch.column("size").to_pylist() if self.stored else [None] * batch.num_rows
+        for k, (name, size) in enumerate(zip(names, sizes)):
+            yield name, size, contents[k].as_py()
+
     def commit(self, messages: list) -> None:
+        system, path = at(self.path)
         temps = [t for m in messages if m for t in m.rows]
         if len(temps) > 1:
             self.abort(messages)
             raise ValueError("an archive is written by one task: use coalesce(1)")
-        if not self.overwrite and os.path.exists(self.path):
+        if not self.overwrite and system.get_file_info(path).type != fs.FileType.NotFound:
             self.abort(messages)
             raise FileExistsError(self.path)
         if temps:
-            os.replace(temps[0], self.path)
+            system.move(temps[0], path)
         else:
-            with open(self.path, "wb") as out:
+            with system.open_output_stream(path, compression=None) as out:
                 ArchiveBuilder(out).finish()
 
     def abort(self, messages: list) -> None:
+        system, _ = at(self.path)
         for t in (t for m in messages if m for t in m.rows):
-            if os.path.exists(t):
-                os.unlink(t)
+            if system.get_file_info(t).type != fs.FileType.NotFound:
+                system.delete_file(t)
 
 
 class ArchiveSource(DataSource):
@@ -435,5 +596,5 @@ class ArchiveSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return ArchiveReader(schema, self.options)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return ArchiveWriter(schema, self.options, overwrite)
