@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's text is indexed by a suffix array, every piece is binary-searched for the range of its
-occurrences, the resulting edges are sorted by position and relaxed. The model is a BPE one, so an
+A batch's texts, one after the other, are indexed by a suffix array, every piece is binary-searched
+for the range of its occurrences, the resulting edges are sorted by position and relaxed. Suffixes are
+ordered by their first 16 bytes, so occurrences of longer pieces are looked at in full. The model is a BPE one, so an
 edge relaxes by what BPE's merges would do rather than by a sum of scores: the pieces of a prefix
 are settled, and a piece may follow the last of them only if merging both texts together gives just
 these two. One piece can end at each position that way, and the path to the end is the encoding.
@@ -21,14 +22,14 @@ import sentencepiece as spm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.chunks import ChunkTokenizer, gather, runs
+from cairn.llm.chunks import gather, own, runs
 from cairn.llm.common import map_arrow, map_batches
 
 SPACE = "▁"
 #: Marks where chunks part; a text that holds it itself is split another way.
 CUT = "\ue000"
 KEY = 16
-#: Bytes of distinct chunks indexed together.
+#: Bytes of text indexed together (a longer text goes alone).
 INDEXED = 1 << 18
 NONE = np.int64(1 << 40)
 #: Compatible pairs remembered, by a direct-mapped table.
@@ -107,12 +108,11 @@ def last_merge(text: str, score: dict[str, int]) -> tuple[str, str] | None:
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-class Encoder(ChunkTokenizer):
+class Encoder:
     """No piece has a space but at its beginning, or a line feed: texts are cut before each run of
-    spaces and around each line feed, and chunks are encoded apart."""
+    spaces and around each line feed, and all chunks are relaxed abreast."""
 
     def __init__(self, pieces: Pieces):
-        super().__init__()
         self.p = pieces
         texts = np.array([t[:KEY] for t in pieces.texts], f"S{KEY}")
         self.low = texts
@@ -206,17 +206,22 @@ class Encoder(ChunkTokenizer):
             at, piece = at[good], piece[good]
         return at, piece
 
-    def learn(self, chunks: list[str]) -> None:
-        raw = [c.replace(" ", SPACE).encode() for c in chunks]
-        for a, z in runs(list(map(len, raw)), INDEXED):
-            self._index(chunks[a:z], raw[a:z])
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
+        texts = own(texts)
+        sizes = pc.binary_length(texts).to_pylist()
+        return [ids for a, z in runs(sizes, INDEXED) for ids in self._index(own(texts[a:z]))]
 
-    def _index(self, chunks: list[str], raw: list[bytes]) -> None:
+    def _index(self, texts: pa.Array) -> list[np.ndarray]:
         p = self.p
-        text = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-        size = np.array([len(r) for r in raw])
-        end = np.cumsum(size + 1) - 1
-        begin = end - size
+        chunks = self.split(texts)
+        per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        flat = pc.replace_substring(chunks.flatten(), " ", SPACE)
+        # every chunk is followed by a zero, which no piece holds
+        flat = pc.binary_join_element_wise(flat, pa.scalar("", pa.large_string()), pa.scalar("\0", pa.large_string()))
+        offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)
+        text = np.frombuffer(flat.buffers()[2], np.uint8)[: offsets[-1]] if offsets[-1] else np.empty(0, np.uint8)
+        begin, end = offsets[:-1], offsets[1:] - 1
         start, piece = self.edges(text)
         stop, symbol = start + self.size[piece], p.ids[piece]
         # A character without a piece of its own is an edge too.
@@ -232,21 +237,22 @@ class Encoder(ChunkTokenizer):
         stop = np.r_[stop, first[bare] + width[bare]]
         symbol = np.r_[symbol, np.full(bare.sum(), p.unknown)]
         # Relax in order of position within the chunk, all chunks abreast.
-        chunk = np.repeat(np.arange(len(raw)), size + 1)
+        chunk = np.repeat(np.arange(len(begin)), end + 1 - begin)
         depth = stop - begin[chunk[start]]
-        by = np.argsort(depth.astype(np.int32), kind="stable")
+        deepest = int(depth.max(initial=0))
+        by = np.argsort(depth.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
         start, stop, symbol, depth = start[by], stop[by], symbol[by], depth[by]
         last = np.full(len(text) + 1, -2, np.int64)
         came = np.zeros(len(text) + 1, np.int64)
         last[begin] = -1
-        cuts = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True])
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        cuts = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True]) if len(depth) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:]):
             before = last[start[a:z]]
-            ok = (before > -2) & self.follows(before, symbol[a:z])
-            e = stop[a:z][ok]
-            last[e], came[e] = symbol[a:z][ok], start[a:z][ok]
+            at = np.flatnonzero(before > -2)
+            at = at[self.follows(before[at], symbol[a:z][at])] + a
+            last[stop[at]], came[stop[at]] = symbol[at], start[at]
         ends = np.zeros(len(text) + 1, bool)
-        at = end[size > 0]
+        at = end[end > begin]
         while len(at):
             ends[at] = True
             at = came[at]
@@ -257,19 +263,17 @@ class Encoder(ChunkTokenizer):
         unknown = symbol == p.unknown
         count = np.where(unknown, ends - came, 1)
         bytes_, _ = gather(p.byte_ids[text], came[unknown], count[unknown])
-        flat = np.repeat(symbol, count)
-        flat[np.repeat(unknown, count)] = bytes_
+        ids = np.repeat(symbol, count)
+        ids[np.repeat(unknown, count)] = bytes_
         # A chunk's end is the separator after it, so `chunk` tells whose it is.
-        counts = np.bincount(chunk[ends], count, minlength=len(raw)).astype(np.int64)
-        out, place = flat.astype("<u4").tobytes(), 0
-        for c, n in zip(chunks, counts.tolist()):
-            self.known[c] = out[place : place + 4 * n]
-            place += 4 * n
+        counts = np.bincount(chunk[ends], count, minlength=len(begin)).astype(np.int64)
+        total = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(per_text)]]
+        return np.split(ids.astype("<u4"), total[1:-1]) if len(per_text) else []
 
 
 @lru_cache(4)
 def encoder(path: str) -> Encoder:
-    """One per Python worker, so that what it has learned serves the next task too."""
+    """One per Python worker: the model is read once."""
     return Encoder(load(path))
 
 
@@ -302,7 +306,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
             sizes = pc.binary_length(texts).fill_null(0).to_pylist()
-            for a, z in runs(sizes):
+            for a, z in runs(sizes, INDEXED):
                 parts = e.ids(texts[a:z])
                 offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).view(np.int32)))
