@@ -40,10 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files outlive any executor, so a lost one costs a reread rather than a recomputation.
     ``release`` removes them once nothing reads them any more.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as it is read from ``path``, where it is written to."""
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
 

@@ -105,4 +105,4 @@ QUERIES = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL = {"op3_chat_format": chat.SQL, "op10_exact_top_k": topk.SQL}
+ORACLE_SQL = {"op3_chat_format": chat.SQL, "op7_suffix_array_dedup": suffix.SQL, "op10_exact_top_k": topk.SQL}

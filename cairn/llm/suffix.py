@@ -452,3 +452,23 @@ def remove_repeats(
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[2:])
     return map_batches(joined, one, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {"string" if keep_row else "binary"}")
+
+
+#: The same rows by counting every string of 200 bytes; texts are cut into overlapping parts first.
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+u AS (SELECT r, x, unnest(range(0, length(x) // 2 - 199, 500)) AS o FROM d),
+v AS (SELECT r, o, substr(x, 2 * o + 1, 1398) AS part FROM u),
+w AS (SELECT r, o, part, unnest(range(0, least(500, length(part) // 2 - 199))) AS q FROM v),
+h AS (SELECT r, o + q AS p, md5_number(substr(part, 2 * q + 1, 400)) AS h FROM w),
+m AS (SELECT r, p FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+i AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM i),
+g AS (SELECT r, k, min(p) AS a, max(p) + 200 AS z FROM s GROUP BY r, k),
+e AS (SELECT r, k, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY k) AS b, lead(a) OVER (PARTITION BY r ORDER BY k) AS nxt FROM g),
+t AS (SELECT r, sum(z - a)::BIGINT AS removed, count(*)::BIGINT AS spans,
+  string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY k) || any_value(substr(x, 2 * last + 1)) AS kept
+  FROM (SELECT e.*, x, max(z) OVER (PARTITION BY e.r) AS last FROM e JOIN d USING (r)) GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
