@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import language, packing, pii, similar, suffix
-from cairn.llm.common import shared_dir
+from cairn.llm.common import release, shared_dir, written
 from cairn.llm.queries import tokenizer_path
 
 #: A document whose language is less likely than this is rejected.
@@ -90,12 +90,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Between stages the documents are written to the shared folder."""
+    """The last stage's rows. Between stages the documents are written to the shared folder; what one
+    stage wrote goes once the next has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
+            docs = written(docs, f"{folder}/{name}")
+            if before is not None:
+                release(before)
+            before = docs
     return docs
