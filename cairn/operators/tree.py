@@ -111,6 +111,12 @@ def name_table(names: DataFrame, name: Column, order: str) -> DataFrame:
     return running_total(once, "first", entry, "offset", ties=("name",))
 
 
+def names_of(nodes: DataFrame, table: DataFrame, name_id: str = "name_id") -> DataFrame:
+    """``nodes`` with ``raw``, the bytes of the name at a place of the name table, null if none begins there."""
+    found = table.select(F.col("offset").alias(name_id), F.col("name").cast("binary").alias("raw"))
+    return nodes.join(found, name_id, "left")
+
+
 def totals(tree: DataFrame) -> DataFrame:
     """Entries, files and bytes of a tree; the sum stops at 64 bits."""
     total = F.coalesce(F.sum(F.greatest("size", F.lit(0)).cast("decimal(38,0)")), F.lit(0))

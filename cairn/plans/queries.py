@@ -214,10 +214,28 @@ def bfs_numbering(spark, sf_dir):
     return got.select("folded", "node_id", F.coalesce("child_count", F.lit(0)).alias("n_children"))
 
 
-@query(f"""WITH {NODES}, kids AS (SELECT parent, count(*)::BIGINT AS n FROM n GROUP BY parent) SELECT parent AS folded, n AS child_count FROM kids""")
+RANKED = """r AS (SELECT ''::VARCHAR AS path, ''::VARCHAR AS ord, 0::BIGINT AS depth UNION ALL
+  SELECT n.path, r.ord || chr(1) || n.name, n.depth::BIGINT FROM n JOIN r ON n.parent = r.path AND n.depth = r.depth + 1),
+i AS (SELECT path, (row_number() OVER (ORDER BY depth, ord) - 1)::BIGINT AS node_id FROM r)"""
+
+
+@query(f"""WITH RECURSIVE {NODES}, {RANKED} SELECT parent AS folded, count(*)::BIGINT AS child_count, min(node_id)::BIGINT AS child_start
+FROM n JOIN i USING (path) GROUP BY parent""")
 def dir_children(spark, sf_dir):
     got = tree.breadth_first(page_tree(spark, sf_dir))
-    return got.where("child_count > 0").select("folded", "child_count")
+    return got.where("child_count > 0").select("folded", "child_count", "child_start")
+
+
+@query(f"""WITH {NODES}, d AS (SELECT name, min(path) AS first FROM n GROUP BY name),
+o AS (SELECT name, coalesce(sum(octet_length(encode(name)) + CASE WHEN octet_length(encode(name)) >= 128 THEN 2 ELSE 1 END)
+  OVER (ORDER BY first, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS name_id FROM d)
+SELECT path AS folded, name_id, hex(encode(name)) AS raw FROM n JOIN o USING (name)""")
+def node_names(spark, sf_dir):
+    """The bytes of each node's name by its place in the name table."""
+    nodes = page_tree(spark, sf_dir).select("folded", F.element_at(paths.components(F.col("folded")), -1).alias("name"))
+    table = tree.name_table(nodes, F.col("name"), "folded")
+    ids = nodes.join(table.select("name", F.col("offset").alias("name_id")), "name").select("folded", "name_id")
+    return tree.names_of(ids, table).select("folded", "name_id", F.hex("raw").alias("raw"))
 
 
 @query(f"WITH {NODES} SELECT path AS folded FROM n WHERE parent = ''")

@@ -50,3 +50,16 @@ def test_entry_is_importable_without_a_session():
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_entry_works_without_the_optional_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("__spark_entry__.py", "cairn"):
+        (shutil.copytree if name == "cairn" else shutil.copy)(f"{root}/{name}", f"{tmp_path}/{name}")
+    shutil.rmtree(f"{tmp_path}/cairn/llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op1_') or q == 'pipeline' for q in e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120).returncode == 0
