@@ -210,6 +210,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count votes and traits over all candidates of all texts, then estimate and train.
 
     The driver gets one row per kind of candidate: 54 patterns of votes times 320 of traits at most.
+    Repeated rows count each; null texts have no candidate; other columns are ignored; without any
+    candidate, an empty table among such, the classifier has a constant alone and finds nothing.
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     each = described(rows).select(F.explode("candidates").alias("c")).select(*[f"c.{c}" for c in VOTES + TRAITS])
@@ -238,7 +240,9 @@ def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``(row, text, base, spans)``: all columns as a struct, and two arrays of (start, rank, stop).
 
     ``rank`` is a place in ``KINDS``; places count code points, ``stop`` is exclusive. Base spans
-    stay whatever the classifier says. Null text counts as empty and has no span.
+    stay whatever the classifier says. Null text counts as empty and has no span. Spans that begin
+    together go by rank. Repeated rows are found each, alike; ids are not looked at; columns of any
+    name ride along in ``row``; texts are read whole; an empty table gives no row.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = described(located(rows, PATTERNS))
