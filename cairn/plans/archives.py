@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 import os
-import shutil
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.codec import compress
 from cairn.functions.paths import components, default_archive_name, stays_inside
 from cairn.operators.layout import BLOCK_SIZE, block_overlap, file_layout, offset_records, stored_size
-from cairn.sources.archive import Archive, ArchiveBuilder, ArchiveSource, OpenFailure, batch_of, open_failure
+from cairn.sources.archive import (
+    Archive,
+    ArchiveBuilder,
+    ArchiveReader,
+    ArchiveSource,
+    ArchiveWriter,
+    OpenFailure,
+    Written,
+    at,
+    batch_of,
+    open_failure,
+)
 
 SUFFIX = ".zar"
 POLICIES = ("Fail", "Skip", "Overwrite", "AutoRename")
@@ -122,24 +135,36 @@ def pack(files: DataFrame, archive: str, policy: str = "Fail", level: int = 6, c
     out = resolve(archive, policy)
     if out is None:
         return None
-    register(files.sparkSession)
     options = {"level": level} if codec == "zstd" else {}
     stored = blocks(files.where("content IS NOT NULL"), "path", "content", codec=codec, **options)
     named = files.select(F.lit(None).cast("bigint").alias("block_id"), "path", F.octet_length("content").cast("bigint").alias("size"))
     rows = stored.select("block_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("size"), F.col("payload").alias("content"))
     rows = rows.unionByName(named.withColumn("content", F.lit(None).cast("binary"))).repartition(1)
     rows = rows.sortWithinPartitions(F.asc_nulls_last("block_id"), "path").select("path", "size", "content")
-    rows.write.format("block_archive").mode("overwrite" if policy == "Overwrite" else "append").save(out)
+    writer = ArchiveWriter(rows.schema, {"path": out, "codec": codec, "level": str(level)}, policy == "Overwrite")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(writer.write(batches).rows, pa.string())], ["part"])
+
+    writer.commit([Written([r.part]) for r in rows.mapInArrow(write, "part string").collect()])
     return out
 
 
 def entries(spark: SparkSession, path: str, content: bool = False, **options) -> DataFrame:
-    """Entries of an archive, or of all of a folder."""
-    register(spark)
-    reader = spark.read.format("block_archive").option("content", str(content).lower())
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.load(path)
+    """Entries of an archive, or of all of a folder, as the data source ``block_archive`` gives them with
+    the same options; tasks of this form share the workers that other tasks use."""
+    given = {"path": path, "content": str(content).lower()} | {k: str(v) for k, v in options.items()}
+    schema = ArchiveSource(given).schema()
+    reader = ArchiveReader(T.StructType.fromDDL(schema), given)
+    parts = [(bytearray(pickle.dumps(p)),) for p in reader.partitions()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                yield from reader.read(pickle.loads(part))
+
+    dealt = spark.createDataFrame(parts, "part binary").repartition(max(1, len(parts)))
+    return dealt.mapInArrow(run, schema)
 
 
 def read_ranges(requests: DataFrame, archive: str, path: str = "path", start: str = "start", length: str = "length") -> DataFrame:
@@ -263,43 +288,67 @@ def place_file(temp: str, wanted: str, policy: str) -> str | None:
     return wanted
 
 
-def batch(
-    items: DataFrame,
-    operation: str,
-    policy: str = "Fail",
-    level: int = 6,
-    delete_source: bool = False,
-    stop: str | None = None,
+def each_item(
+    items: DataFrame, run: Callable[[str, str], tuple[str | None, int, int]], delete_source: bool = False, stop: str | None = None
 ) -> DataFrame:
-    """A result row for each item ``(source, destination)``; ``operation`` is pack or extract. Items
-    run apart from each other, and one that fails says so in its row and stops no other. Items that
-    begin after a file ``stop`` is there are cancelled. With ``delete_source`` a source goes once its
-    output is in place."""
-    if operation not in ("pack", "extract"):
-        raise ValueError("operation must be pack or extract")
+    """A result row for each ``(source, destination)``: ``run`` gives where output went (None if it was
+    skipped), files and bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Items run apart from each other, and one that fails says so in its row and stops no other. Items
+    that begin after a file ``stop`` is there are cancelled. A source is deleted only once its output
+    is in place.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in STATUS.split(", ")]
         for b in batches:
             for source_, destination in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 status, error, files, size = "Completed", None, 0, 0
                 try:
-                    if stop is not None and os.path.lexists(stop):
+                    if stop is not None and there(stop):
                         status = "Cancelled"
-                    elif operation == "pack":
-                        out, files, size = pack_one(source_, destination, level, policy)
-                        status, destination = ("Completed", out) if out else ("Skipped", destination)
                     else:
-                        files, size = extract(source_, destination)
-                    if status == "Completed" and delete_source:
-                        shutil.rmtree(source_) if os.path.isdir(source_) else os.unlink(source_)
+                        out, files, size = run(source_, destination)
+                        status, destination = ("Completed", out) if out else ("Skipped", destination)
+                        if out and delete_source:
+                            remove(source_)
                 except Exception as e:
                     status, error = "Failed", f"{type(e).__name__}: {e}"
                 values = [source_, destination, status, error, files, size]
                 types = [pa.string()] * 4 + [pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
-    return items.select("source", "destination").mapInArrow(run, STATUS)
+    return items.select("source", "destination").mapInArrow(rows, STATUS)
+
+
+def there(place: str) -> bool:
+    system, path = at(place)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
+def remove(place: str) -> None:
+    """Deletes a file, or a directory with all below it."""
+    system, path = at(place)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+    else:
+        system.delete_file(path)
+
+
+def batch(
+    items: DataFrame,
+    operation: str,
+    policy: str = "Fail",
+    level: int = 6,
+    delete_source: bool = False,
+    stop: str | None = None,
+) -> DataFrame:
+    """``each_item``; ``operation`` is pack (a directory) or extract (an archive)."""
+    if operation == "pack":
+        return each_item(items, lambda s, d: pack_one(s, d, level, policy), delete_source, stop)
+    if operation == "extract":
+        return each_item(items, lambda s, d: (d, *extract(s, d)), delete_source, stop)
+    raise ValueError("operation must be pack or extract")
 
 
 def archive_name(directory: Column) -> Column:

@@ -18,7 +18,7 @@ from cairn.functions import parsing
 from cairn.functions.codec import MOST_BYTES, dictionary
 from cairn.functions.paths import extension
 from cairn.operators import seek
-from cairn.plans.archives import POLICIES, STATUS, resolve
+from cairn.plans.archives import POLICIES, each_item, resolve
 from cairn.sources.archive import at
 
 #: Bytes read at a time, of plain and of compressed files.
@@ -70,39 +70,6 @@ def _parts(place: str) -> Iterator[bytes]:
             yield part
 
 
-def _each(items: DataFrame, run: Callable[[str, str], tuple[str | None, int]], delete_source: bool, stop: str | None) -> DataFrame:
-    """A result row for each ``(source, destination)``; failures stay in their row. Items that begin after
-    a file ``stop`` is there are cancelled. A source is only deleted once its output is in place."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in STATUS.split(", ")]
-        for b in batches:
-            for source, destination in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                status, error, size, done = "Completed", None, 0, 0
-                try:
-                    if stop is not None and _there(stop):
-                        status = "Cancelled"
-                    else:
-                        out, size = run(source, destination)
-                        status, done = ("Completed", 1) if out else ("Skipped", 0)
-                        destination = out or destination
-                        if out and delete_source:
-                            system, path = at(source)
-                            system.delete_file(path)
-                except Exception as e:
-                    status, error = "Failed", f"{type(e).__name__}: {e}"
-                values = [source, destination, status, error, done, size]
-                types = [pa.string()] * 4 + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
-
-    return items.select("source", "destination").mapInArrow(rows, STATUS)
-
-
-def _there(place: str) -> bool:
-    system, path = at(place)
-    return system.get_file_info(path).type != fs.FileType.NotFound
-
-
 def compress_files(
     items: DataFrame,
     level: int = 3,
@@ -116,7 +83,7 @@ def compress_files(
     """Each source file as a zstd file; with ``frame_size`` as a seekable one, with frames of so many bytes
     and a seek table. Files pass through in parts, so none has to fit in memory."""
 
-    def one(source: str, destination: str) -> tuple[str | None, int]:
+    def one(source: str, destination: str) -> tuple[str | None, int, int]:
         size = 0
 
         def run(out) -> None:
@@ -146,9 +113,10 @@ def compress_files(
                 frame(pending)
             out.write(seek_table_bytes(table))
 
-        return _write(destination, policy, run), size
+        out = _write(destination, policy, run)
+        return out, int(out is not None), size
 
-    return _each(items, one, delete_source, stop)
+    return each_item(items, one, delete_source, stop)
 
 
 def seek_table_bytes(frames: list[tuple[int, int]]) -> bytes:
@@ -169,7 +137,7 @@ def decompress_files(
 ) -> DataFrame:
     """Each zstd file's content, all frames, skippable ones left out; what is broken leaves no output."""
 
-    def one(source: str, destination: str) -> tuple[str | None, int]:
+    def one(source: str, destination: str) -> tuple[str | None, int, int]:
         size = 0
 
         def run(out) -> None:
@@ -191,9 +159,10 @@ def decompress_files(
             if begun:
                 raise zstd.ZstdError("truncated frame")
 
-        return _write(destination, policy, run), size
+        out = _write(destination, policy, run)
+        return out, int(out is not None), size
 
-    return _each(items, one, delete_source, stop)
+    return each_item(items, one, delete_source, stop)
 
 
 def tables(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -85,14 +85,27 @@ def table_of(files: DataFrame, key: str, data: str = "data", head: str | None =
     return seek_table(each, (key,))
 
 
+def payloads(files: DataFrame, frames: DataFrame, key: str, data: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The stored bytes of some frames. A file meets the list of its frames once and is cut there, so it
+    is not repeated for each of them."""
+    listed = frames.groupBy(key).agg(F.collect_list(F.struct("frame_id", "c_start", "c_size", *keep)).alias("__fs"))
+    joined = files.select(key, F.col(data).alias("__data")).join(listed, key)
+    cut = F.transform(
+        "__fs",
+        lambda f: F.struct(
+            f["frame_id"].alias("frame_id"),
+            *[f[c].alias(c) for c in keep],
+            F.substring("__data", (f["c_start"] + 1).cast("int"), f["c_size"].cast("int")).alias("payload"),
+        ),
+    )
+    return joined.select(key, F.explode(cut).alias("f")).select(key, "f.frame_id", *[f"f.{c}" for c in keep], "f.payload")
+
+
 def read_range(files: DataFrame, key: str, offset: int, length: int, data: str = "data", head: str | None = None) -> DataFrame:
     """``(key, content)``: a range of each file's content. The range meets the seek table first, so
     only frames that it touches are decoded; one that ends past the content raises."""
     table = table_of(files, key, data, head)
-    touched = frame_range(table, offset, length)
-    raw = touched.join(files.select(key, F.col(data).alias("__data")), key)
-    payload = F.substring("__data", (F.col("c_start") + 1).cast("int"), F.col("c_size").cast("int"))
-    cut = raw.select(key, "frame_id", "skip", "take", payload.alias("payload"))
+    cut = payloads(files, frame_range(table, offset, length), key, data, ("skip", "take"))
     plain = cut.select(key, "frame_id", "skip", "take", decompress(F.col("payload")).alias("plain"))
     part = F.substring("plain", (F.col("skip") + 1).cast("int"), F.col("take").cast("int"))
     got = plain.select(key, "frame_id", part.alias("part")).groupBy(key).agg(joined_bytes("part", "frame_id").alias("content"))
@@ -110,7 +123,5 @@ def read_frames(files: DataFrame, key: str, first: int, last: int | None, data:
     """``(key, content)`` of frames ``first`` to ``last``, both included."""
     table = table_of(files, key, data, head).where(F.col("frame_id") >= first)
     table = table if last is None else table.where(F.col("frame_id") <= last)
-    raw = table.join(files.select(key, F.col(data).alias("__data")), key)
-    payload = F.substring("__data", (F.col("c_start") + 1).cast("int"), F.col("c_size").cast("int"))
-    plain = raw.select(key, "frame_id", payload.alias("p")).select(key, "frame_id", decompress(F.col("p")).alias("part"))
+    plain = payloads(files, table, key, data).select(key, "frame_id", decompress(F.col("payload")).alias("part"))
     return plain.groupBy(key).agg(joined_bytes("part", "frame_id").alias("content"))

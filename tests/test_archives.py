@@ -102,6 +102,14 @@ def test_pack_and_extract(spark, tmp_path):
     assert archives.pack(df, target) == target
     got = archives.entries(spark, target, content=True)
     assert {r.path: bytes(r.content) for r in got.where("is_file").collect()} == TREE
+    archives.register(spark)
+    source = spark.read.format("block_archive").load(target)
+    assert {r.path: bytes(r.content) for r in source.where("is_file").collect()} == TREE
+    assert spark.read.format("block_archive").option("content", "false").load(target).columns == [c for c in source.columns if c != "content"]
+    df.coalesce(1).sortWithinPartitions("path").write.format("block_archive").mode("append").save(f"{tmp_path}/ds.zar")
+    with open(f"{tmp_path}/ds.zar", "rb") as f:
+        a = Archive(f)
+        assert a.verify() and {e.path: a.read(e.offset, e.size) for e in a.entries() if e.is_file} == TREE
     parts = archives.entries(spark, target, content=True, partitionBytes=100_000)
     assert parts.rdd.getNumPartitions() > 1 and parts.where("is_file").count() == len(TREE)
     assert archives.extract(target, f"{tmp_path}/out") == (len(TREE), sum(map(len, TREE.values())))
