@@ -52,7 +52,7 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Remove the files of a materialized frame that nothing reads any more."""
+    """Remove the files of a materialized frame, and of those it is made of, that nothing reads any more."""
     path = getattr(df, "_cairn_path", None)
     for part in getattr(df, "_cairn_parts", ()):
         release(part)
@@ -148,4 +148,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         release(at)
         at = now
     stars = at.selectExpr("u AS node", "v AS root")
-    return stars.unionByName(stars.select("root").distinct().selectExpr("root AS node", "root"))
+    out = stars.unionByName(stars.select("root").distinct().selectExpr("root AS node", "root"))
+    out._cairn_parts = (at,)
+    return out

@@ -114,9 +114,11 @@ def links(fps: DataFrame, distance: int = 3, agree: int | None = None) -> DataFr
     ends = held.groupBy("combo", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
     stars = held.join(ends, ["combo", "key"]).select(F.explode(F.array("least", "most")).alias("a"), F.col("fp").alias("b"))
     first = materialize(stars.where((F.col("a") != F.col("b")) & near("a", "b", distance)).distinct(), "links")
-    roots = connected_components(first).withColumnRenamed("node", "fp")
-    at = materialize(held.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    release(held)
+    roots = connected_components(first)
+    at = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    at = materialize(at, "rooted")
+    for done in (held, roots):
+        release(done)
     mixed = at.groupBy("combo", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_ = at.join(mixed.select("combo", "key"), ["combo", "key"], "left_semi")
     rest = materialize(across(open_, blocks, distance), "links")
@@ -187,6 +189,6 @@ def near_duplicates(
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     names = materialize(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "names")
-    for done in (nodes, found):
+    for done in (nodes, found, roots):
         release(done)
     return fp.join(names, "fp").select("id", "fp", "component")

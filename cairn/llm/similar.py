@@ -187,7 +187,9 @@ def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction, distance
     near_by = simhash_pairs(own, distance)
     zero = verified(rows, own, possible(near_by, sketches, least), words, least)
     release(near_by)
-    joined = materialize(connected_components(zero), "rooted")
+    roots = connected_components(zero)
+    joined = materialize(roots, "rooted")
+    release(roots)
 
     entries = own.select(F.explode("prefix").alias("key"), "node")
     shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
@@ -202,7 +204,8 @@ def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction, distance
     roots = connected_components(zero.unionByName(first))
     nodes = sketches.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     at = materialize(held.select("key", "node").join(nodes, "node"), "rooted")
-    release(held)
+    for done in (held, roots):
+        release(done)
     mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(at.join(mixed, "key", "left_semi").join(sketches.drop("wide"), "node"), "open")
     x, y = open_.alias("x"), open_.alias("y")
@@ -210,8 +213,9 @@ def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction, distance
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near("x", "y", least))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = near_wide(rest, sketches, least)
-    both = materialize(zero.unionByName(first).unionByName(verified(rows, own, rest, words, least)), "links")
-    for done in (zero, first, joined, shared, sketches, at, open_):
+    second = verified(rows, own, rest, words, least)
+    both = materialize(zero.unionByName(first).unionByName(second), "links")
+    for done in (zero, first, second, joined, shared, sketches, at, open_):
         release(done)
     return both
 
@@ -239,6 +243,6 @@ def near_duplicates(
     roots = connected_components(found)
     named = own.select("id", "h", "node").join(roots, "node", "left")
     out = materialize(named.select("id", "h", F.coalesce("root", "node").alias("root")), "groups")
-    for done in (own, found):
+    for done in (own, found, roots):
         release(done)
     return out
