@@ -50,3 +50,76 @@ def test_near_duplicates_keep_a_row_of_each_group(spark):
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept)
     assert ids == [(False, 3), (False, 5), (False, 9), (True, 0)]
     assert {r.doc_id: r.text for r in kept if r.doc_id} == {3: one, 5: other, 9: "z"}
+
+
+def test_each_stage_on_the_smallest_table(spark):
+    """Every stage against plain means, on all that the one before it kept."""
+    import re
+
+    import public_tokenizers
+    import tokenizers
+
+    from tests.llm.test_operators import BASE, brute_removed
+    from tests.llm.test_similar import brute
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        nonlocal docs
+        rows = stages[name](spark, docs, folder).collect()
+        docs = spark.createDataFrame(rows, docs.schema) if name != "best_fit_packing" else docs
+        return rows
+
+    kept = {r.doc_id: r.text for r in step("language_id")}
+    assert all(any(map(str.isalpha, t)) for t in kept.values()) and all(texts[i] == t for i, t in kept.items())
+    assert all(i in kept for i, t in texts.items() if len(re.findall(r"[^\W\d_]{3,}", t)) >= 20)
+
+    order = sorted(kept)
+    groups, _ = brute([kept[i] for i in order])
+    single = {r.doc_id: r.text for r in step("simhash_near_dedup")}
+    assert sorted(single) == [order[i] for i in sorted(set(groups))]
+
+    order = sorted(single)
+    raw = [single[i].encode() for i in order]
+    cut = {r.doc_id: (r.text, r.n_chars) for r in step("suffix_array_dedup")}
+    assert sorted(cut) == order
+    for i, t, gone in zip(order, raw, brute_removed(raw, 200)):
+        left = bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore")
+        assert cut[i] == (left, len(left))
+
+    clean = {r.doc_id: r.text for r in step("pii")}
+    assert sorted(clean) == order
+    for i, t in clean.items():
+        before = cut[i][0]
+        spans = [m.span() for _, p, ok in BASE for m in re.finditer(p, before, re.A) if ok(m.group())]
+        assert all(before[a:z] not in t or before.count(before[a:z]) > len(spans) for a, z in spans)
+        marks = len(re.findall("<(?:email|ip|card|phone|secret)>", t))
+        assert (t == before) if not marks else marks >= bool(spans)
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed, used = {}, {}
+    for r in step("best_fit_packing"):
+        packed.setdefault(r.doc_id, []).append(r.length)
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert {i: sum(n) for i, n in packed.items()} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in clean.items()}
+    assert max(used.values()) <= 2048
+
+
+def test_empty_tables_stay_empty(spark, tmp_path):
+    docs = documents(spark, tmp_path).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_nulls_in_any_column_pass_every_stage(spark):
+    rows = [(None, "some words of a text", None, None, None), (1, None, None, None, None), (1, "some words of a text", "en", "s", 3)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.text for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {"some words of a text"}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text is None) for r in kept) == [(1, False), (1, True)]
+    assert corpus_pipeline.drop_repeats(spark, docs, "").count() == 6
+    assert corpus_pipeline.redact_personal_data(spark, docs, "").count() == 6
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 6
