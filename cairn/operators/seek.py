@@ -160,13 +160,20 @@ def parse(files: DataFrame, data: str = "data", head: bool = False) -> DataFrame
         .when(skip_size + HEADER != size, "SizeMismatch")
     )
     first = start + (HEADER + INTEGRITY if head else HEADER)
-    entry = lambda i: F.struct(
-        i.alias("frame_id"),
-        le_uint(raw, first + i * width, 4).alias("c_size"),
-        le_uint(raw, first + i * width + 4, 4).alias("d_size"),
-    )
+    # Bound once for all entries: else the planner may put what makes the bytes into each of them.
+    bound = F.array(F.struct(raw.alias("raw"), first.alias("first"), width.alias("width"), F.col("__n").alias("n")))
+
+    def entries(b: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0).cast("bigint"), b["n"] - 1),
+            lambda i: F.struct(
+                i.alias("frame_id"),
+                le_uint(b["raw"], b["first"] + i * b["width"], 4).alias("c_size"),
+                le_uint(b["raw"], b["first"] + i * b["width"] + 4, 4).alias("d_size"),
+            ),
+        )
+
     none = F.array().cast("array<struct<frame_id:bigint,c_size:bigint,d_size:bigint>>")
-    frames = F.when(
-        failure.isNull() & (F.col("__n") > 0), F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1), entry)
-    ).otherwise(none)
+    sound = failure.isNull() & (F.col("__n") > 0)
+    frames = F.when(sound, F.get(F.transform(bound, entries), F.lit(0))).otherwise(none)
     return rows.withColumns({"failure": failure, "frames": frames}).drop("__short", "__n", "__magic", "__flags")

@@ -353,10 +353,10 @@ def seek_table_bytes(spark, sf_dir):
     one = seek.parse(foot.select(F.col("table").alias("data"))).select("frames", "failure")
     two = seek.parse(head.select(F.col("table").alias("data")), head=True).select(F.col("frames").alias("again"))
     both = one.join(two)  # one row each
+    total = lambda c: F.aggregate("frames", F.lit(0).cast("bigint"), lambda a, f: a + f[c])
     same = (F.col("frames") == F.col("again")) & F.col("failure").isNull()
-    each = both.select(F.explode("frames").alias("f"), same.alias("same"))
-    return each.agg(
-        F.count("*").alias("n"), F.sum("f.c_size").alias("c"), F.sum("f.d_size").alias("d"), F.bool_and("same").alias("same")
+    return both.select(
+        F.size("frames").cast("bigint").alias("n"), total("c_size").alias("c"), total("d_size").alias("d"), same.alias("same")
     )
 
 
