@@ -30,7 +30,7 @@ SPACE = "▁"
 CUT = "\ue000"
 KEY = 16
 #: Bytes of text indexed together (a longer text goes alone).
-INDEXED = 1 << 18
+INDEXED = 1 << 16
 NONE = np.int64(1 << 40)
 #: Compatible pairs remembered, by a direct-mapped table.
 SLOTS = 1 << 21
@@ -117,8 +117,11 @@ class Encoder:
         texts = np.array([t[:KEY] for t in pieces.texts], f"S{KEY}")
         self.low = texts
         self.high = np.array([t[:KEY].ljust(KEY, b"\xff") for t in pieces.texts], f"S{KEY}")
-        self.size = np.array([len(t) for t in pieces.texts])
-        self.long = np.flatnonzero(self.size > KEY)
+        self.head_low = np.array([int.from_bytes(t[:8].ljust(8, b"\0"), "big") for t in pieces.texts], np.uint64)
+        self.head_high = np.array([int.from_bytes(t[:8].ljust(8, b"\xff"), "big") for t in pieces.texts], np.uint64)
+        self.size = np.array([len(t) for t in pieces.texts], np.int32)
+        self.symbol = pieces.ids.astype(np.int32)
+        self.more, self.long = np.flatnonzero(self.size > 8), np.flatnonzero(self.size > KEY)
         self.slot_key = np.full(SLOTS, -1, np.int64)
         self.slot_ok = np.zeros(SLOTS, bool)
 
@@ -169,7 +172,7 @@ class Encoder:
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``compatible``, remembered; a of -1 is a chunk's beginning, which any piece may follow."""
-        key = a * len(self.p.order) + b
+        key = a.astype(np.int64) * len(self.p.order) + b
         slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
         ok = self.slot_ok[slot]
         miss = np.flatnonzero((self.slot_key[slot] != key) & (a >= 0))
@@ -186,17 +189,25 @@ class Encoder:
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, index of the piece) of every occurrence of every piece."""
-        starts = np.flatnonzero((text & 0xC0) != 0x80)
-        padded = np.r_[text, np.zeros(KEY, np.uint8)]
-        keys = np.lib.stride_tricks.sliding_window_view(padded, KEY)[starts]
-        words = keys.view(">u8").astype(np.uint64)
-        order = np.lexsort((words[:, 1], words[:, 0]))
-        suffixes, keys = starts[order], np.ascontiguousarray(keys[order]).view(f"S{KEY}").ravel()
-        low = np.searchsorted(keys, self.low, "left")
-        high = np.searchsorted(keys, self.high, "right")
+        starts = np.flatnonzero((text & 0xC0) != 0x80).astype(np.int32)
+        # eight bytes from each place on, as one number that orders as they do
+        wide = np.r_[text, np.zeros(KEY, np.uint8)]
+        word = np.zeros(len(text) + KEY // 2, np.uint64)
+        for j in range(8):
+            word |= wide[j : j + len(word)].astype(np.uint64) << np.uint64(56 - 8 * j)
+        head, tail = word[starts], word[starts + 8]
+        order = np.lexsort((tail, head))
+        suffixes, head, tail = starts[order], head[order], tail[order]
+        low, high = np.searchsorted(head, self.head_low, "left"), np.searchsorted(head, self.head_high, "right")
+        # of pieces of more than eight bytes, those whose first eight are there at all
+        more = self.more[high[self.more] > low[self.more]]
+        if len(more):
+            keys = np.stack([head, tail], axis=1).astype(">u8").view(f"S{KEY}").ravel()
+            low[more] = np.searchsorted(keys, self.low[more], "left")
+            high[more] = np.searchsorted(keys, self.high[more], "right")
         count = np.maximum(high - low, 0)
         at, _ = gather(suffixes, low, count)
-        piece = np.repeat(np.arange(len(count)), count)
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         if len(self.long) and count[self.long].any():
             long = np.flatnonzero(self.size[piece] > KEY)
             good = np.ones(len(piece), bool)
@@ -223,29 +234,31 @@ class Encoder:
         text = np.frombuffer(flat.buffers()[2], np.uint8)[: offsets[-1]] if offsets[-1] else np.empty(0, np.uint8)
         begin, end = offsets[:-1], offsets[1:] - 1
         start, piece = self.edges(text)
-        stop, symbol = start + self.size[piece], p.ids[piece]
+        stop, symbol = start + self.size[piece], self.symbol[piece]
         # A character without a piece of its own is an edge too.
-        first = np.flatnonzero((text & 0xC0) != 0x80)
-        width = np.diff(np.r_[first, len(text)])
+        first = np.flatnonzero((text & 0xC0) != 0x80).astype(np.int32)
+        width = np.diff(first, append=np.int32(len(text)))
         covered = np.zeros(len(text) + 1, bool)
-        single = np.zeros(len(text) + 1, np.int64)
+        single = np.zeros(len(text) + 1, np.int32)
         single[first] = width
         covered[start[stop - start == single[start]]] = True
         covered[end] = True
         bare = ~covered[first]
         start = np.r_[start, first[bare]]
         stop = np.r_[stop, first[bare] + width[bare]]
-        symbol = np.r_[symbol, np.full(bare.sum(), p.unknown)]
+        symbol = np.r_[symbol, np.full(bare.sum(), p.unknown, np.int32)]
         # Relax in order of position within the chunk, all chunks abreast.
-        chunk = np.repeat(np.arange(len(begin)), end + 1 - begin)
-        depth = stop - begin[chunk[start]]
+        chunk = np.repeat(np.arange(len(begin), dtype=np.int32), end + 1 - begin)
+        depth = stop - np.repeat(begin.astype(np.int32), end + 1 - begin)[start]
         deepest = int(depth.max(initial=0))
-        by = np.argsort(depth.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
-        start, stop, symbol, depth = start[by], stop[by], symbol[by], depth[by]
-        last = np.full(len(text) + 1, -2, np.int64)
-        came = np.zeros(len(text) + 1, np.int64)
+        small = np.uint8 if deepest < 1 << 8 else np.uint16 if deepest < 1 << 16 else np.int64
+        by = np.argsort(depth.astype(small), kind="stable")
+        start, stop, symbol = start[by], stop[by], symbol[by]
+        last = np.full(len(text) + 1, -2, np.int32)
+        came = np.zeros(len(text) + 1, np.int32)
         last[begin] = -1
-        cuts = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True]) if len(depth) else [0]
+        sizes = np.bincount(depth)
+        cuts = np.r_[0, np.cumsum(sizes[sizes > 0])].tolist()
         for a, z in zip(cuts[:-1], cuts[1:]):
             before = last[start[a:z]]
             at = np.flatnonzero(before > -2)
