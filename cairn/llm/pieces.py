@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Marks where chunks part; a text that holds it itself is split another way.
 CUT = "\ue000"
 KEY = 16
-#: Bytes of text indexed together (a longer text goes alone).
+#: Bytes of text indexed together (a longer chunk goes alone).
 INDEXED = 1 << 16
 NONE = np.int64(1 << 40)
 #: Compatible pairs remembered, by a direct-mapped table.
@@ -218,20 +218,26 @@ class Encoder:
         return at, piece
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; null has none."""
-        texts = own(texts)
-        sizes = pc.binary_length(texts).to_pylist()
-        return [ids for a, z in runs(sizes, INDEXED) for ids in self._index(own(texts[a:z]))]
-
-    def _index(self, texts: pa.Array) -> list[np.ndarray]:
-        p = self.p
-        chunks = self.split(texts)
+        """The ids of each text; null has none. Chunks are indexed together up to ``INDEXED`` bytes,
+        whatever texts they are of, so a long text takes no more than its longest chunk."""
+        chunks = self.split(own(texts))
         per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
         flat = pc.replace_substring(chunks.flatten(), " ", SPACE)
         # every chunk is followed by a zero, which no piece holds
         flat = pc.binary_join_element_wise(flat, pa.scalar("", pa.large_string()), pa.scalar("\0", pa.large_string()))
+        if not len(flat):
+            return [np.empty(0, "<u4") for _ in range(len(per_text))]
         offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)
-        text = np.frombuffer(flat.buffers()[2], np.uint8)[: offsets[-1]] if offsets[-1] else np.empty(0, np.uint8)
+        data = np.frombuffer(flat.buffers()[2], np.uint8)
+        cuts = np.unique(np.r_[0, np.searchsorted(offsets, np.arange(INDEXED, offsets[-1], INDEXED)), len(flat)]).tolist()
+        parts = [self._index(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]) for a, z in zip(cuts, cuts[1:])]
+        counts = np.concatenate([c for _, c in parts])
+        total = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(per_text)]]
+        return np.split(np.concatenate([x for x, _ in parts]), total[1:-1])
+
+    def _index(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has."""
+        p = self.p
         begin, end = offsets[:-1], offsets[1:] - 1
         start, piece = self.edges(text)
         stop, symbol = start + self.size[piece], self.symbol[piece]
@@ -280,8 +286,7 @@ class Encoder:
         ids[np.repeat(unknown, count)] = bytes_
         # A chunk's end is the separator after it, so `chunk` tells whose it is.
         counts = np.bincount(chunk[ends], count, minlength=len(begin)).astype(np.int64)
-        total = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(per_text)]]
-        return np.split(ids.astype("<u4"), total[1:-1]) if len(per_text) else []
+        return ids.astype("<u4"), counts
 
 
 @lru_cache(4)
@@ -319,7 +324,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
             sizes = pc.binary_length(texts).fill_null(0).to_pylist()
-            for a, z in runs(sizes, INDEXED):
+            for a, z in runs(sizes):
                 parts = e.ids(texts[a:z])
                 offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).view(np.int32)))
