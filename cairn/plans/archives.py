@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import pickle
 import uuid
@@ -192,9 +193,36 @@ def read_ranges(requests: DataFrame, archive: str, path: str = "path", start: st
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes of BINARY archives that go to a Python worker at once, however many a task has.
+BATCH_BYTES = 4 << 20
+
+
+def packed_values(files: DataFrame, key: str, level: int = 6, codec: str = "zstd") -> DataFrame:
+    """``(key, data)``: the ``(path, content)`` rows of each key as one archive, a BINARY value, in order
+    of path; null content is a directory. One task builds an archive and holds it, so a key should have
+    no more than that; archives of any size are ``pack``'s."""
+    options = {"level": level} if codec == "zstd" else {}
+
+    def build(rows: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        b = ArchiveBuilder(out, codec, **options)
+        for path, content in sorted(zip(rows["path"].to_pylist(), rows["content"].to_pylist()), key=lambda r: r[0]):
+            if content is None:
+                b.add_directory(path)
+            else:
+                b.add_file(path, content)
+        b.finish()
+        return pa.table([rows[key].slice(0, 1), pa.array([out.getvalue()], pa.binary())], [key, "data"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, "path", "content").groupBy(key).applyInArrow(build, f"`{key}` {kind}, data binary")
+
+
 def entries_in(files: DataFrame, key: str = "path", data: str = "content", content: bool = False) -> DataFrame:
     """Entries of archives that are BINARY values, as Spark's own readers give them from any store.
-    A value that is no archive gives one row that says why."""
+    A value that is no archive gives one row that says why. Spark reads the size of a batch when the
+    job begins, after this returns, so it stays set for the session."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     names = ["archive", "path", "is_file", "offset", "size", "safe", *["content"] * content, "failure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -852,11 +854,14 @@ def codec_forms(spark, sf_dir):
     )
 
 
+def page_path() -> Column:
+    return F.concat(F.lit("site/"), F.col("page_id") % 7, F.lit("/"), F.col("page_id"), F.lit(".html"))
+
+
 def packed_pages(spark, sf_dir) -> str:
     """An archive of all pages, in seven folders."""
     target = f"{scratch(spark)}/pages.zar"
-    path = F.concat(F.lit("site/"), F.col("page_id") % 7, F.lit("/"), F.col("page_id"), F.lit(".html"))
-    archives.pack(read(spark, sf_dir, "pages").select(path.alias("path"), F.col("html").cast("binary").alias("content")), target)
+    archives.pack(read(spark, sf_dir, "pages").select(page_path().alias("path"), F.col("html").cast("binary").alias("content")), target)
     return target
 
 
@@ -899,11 +904,24 @@ def extracted_batches(spark, sf_dir):
 FAILURES = ["None", "TooSmall", "BadMagic", "UnsupportedVersion", "LengthMismatch", "SectionOutOfRange", "BadOffsetRecords", "BadFileTree", "BadFileTree", "TooSmall"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FAILURES)) + ") t(id, failure)")
-def open_failures(spark, sf_dir):
-    """Archives as BINARY values, damaged in several ways."""
-    with open(packed_pages(spark, sf_dir), "rb") as f:
-        good = f.read()
+#: Bytes of pages, about, in each BINARY archive: a value must fit in a row, so all pages take several.
+VALUE_BYTES = 1 << 20
+
+
+def page_archives(spark, sf_dir) -> DataFrame:
+    """All pages in archives that are BINARY values, ``(part, data)``; each has a file of its number too, so
+    that there is one of an empty table."""
+    pages = read(spark, sf_dir, "pages")
+    total = pages.agg(F.sum(F.octet_length("html").cast("bigint"))).first()[0] or 0
+    n = max(1, -(-total // VALUE_BYTES))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("part")
+    rows = pages.select(part, page_path().alias("path"), F.col("html").cast("binary").alias("content"))
+    numbers = spark.range(n).select(F.col("id").alias("part"), F.lit("part.txt").alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    return archives.packed_values(rows.unionByName(numbers), "part")
+
+
+def damaged(good: bytes) -> list[bytes | None]:
+    """An archive as it is, then damaged in the ways of ``FAILURES``."""
     foot = len(good) - 144
 
     def put(place: int, data: bytes) -> bytes:
@@ -911,7 +929,7 @@ def open_failures(spark, sf_dir):
 
     records = int.from_bytes(good[foot + 24 : foot + 32], "big")
     tree_at = int.from_bytes(good[foot + 48 : foot + 56], "big")
-    damaged = [
+    return [
         good,
         good[:144],
         put(len(good) - 4, b"\0"),
@@ -923,9 +941,22 @@ def open_failures(spark, sf_dir):
         put(tree_at, b"\xff"),
         None,
     ]
-    rows = spark.createDataFrame([(str(i), None if d is None else bytearray(d)) for i, d in enumerate(damaged)], "id string, data binary")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FAILURES)) + ") t(id, failure)")
+def open_failures(spark, sf_dir):
+    """Archives as BINARY values, damaged in several ways by the tasks that hold them; where archives of
+    one kind of damage fail differently, all their failures are named."""
+
+    def damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for good in b.column("data"):
+                for i, value in enumerate(damaged(good.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([str(i)]), pa.array([value], pa.binary())], ["id", "data"])
+
+    rows = page_archives(spark, sf_dir).select("data").mapInArrow(damage, "id string, data binary")
     got = archives.entries_in(rows, "id", "data").groupBy(F.col("archive").cast("int").alias("id"))
-    return got.agg(F.coalesce(F.max("failure"), F.lit("None")).alias("failure"))
+    return got.agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("failure", F.lit("None")))), ",").alias("failure"))
 
 
 @query("""SELECT (page_id % 7)::VARCHAR || '/' || page_id || '.html' AS name, greatest(1, (octet_length(encode(html)) + 999) // 1000)::BIGINT AS n_frames,

@@ -260,3 +260,32 @@ def test_reports(spark):
     assert text.select(reports.sanitized(F.col("t"), "user", "C:\\Users\\user")).first()[0] == (
         "[user] at %USERPROFILE% and %USERPROFILE%/x, users, user1"
     )
+
+
+def test_open_failures_keeps_archives_off_the_driver(spark, tmp_path, monkeypatch):
+    import pickle
+
+    from pyspark.sql import SparkSession
+
+    from cairn.plans import queries
+
+    given, create = [], SparkSession.createDataFrame
+    pages = [(i, os.urandom(3000).hex()) for i in range(400)]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/some/pages.parquet")
+    spark.createDataFrame([], "page_id bigint, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+
+    def seen(self, data, *a, **b):
+        given.append(len(pickle.dumps(data)))
+        return create(self, data, *a, **b)
+
+    monkeypatch.setattr(SparkSession, "createDataFrame", seen)
+    for folder, least in (("some", 2), ("none", 1)):
+        got = queries.open_failures(spark, f"{tmp_path}/{folder}").collect()
+        assert sorted(map(tuple, got)) == list(enumerate(queries.FAILURES))
+        made = queries.page_archives(spark, f"{tmp_path}/{folder}").select("part", "data").collect()
+        assert len(made) >= least and max(len(r.data) for r in made) < 3 << 20
+    assert sum(given) < 10_000
+    # every page is in one of the archives, whole
+    made = queries.page_archives(spark, f"{tmp_path}/some").withColumn("part", F.col("part").cast("string"))
+    found = archives.entries_in(made, "part", "data", content=True).where("is_file AND path <> 'part.txt'").collect()
+    assert sorted(bytes(r.content).decode() for r in found) == sorted(h for _, h in pages)
