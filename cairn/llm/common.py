@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -90,13 +91,36 @@ def give_back() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+#: What this worker has learned that serves the next task of the same kind.
+_learned: dict[str, object] = {}
+
+
+def learned(name: str, make: Callable) -> object:
+    """What ``make`` gives, kept by a Python worker for its next tasks until one comes that keeps nothing."""
+    if name not in _learned:
+        _learned[name] = make()
+    return _learned[name]
+
+
+def forget() -> None:
+    """Drop what was learned, if anything was, and return its memory to the system."""
+    if _learned:
+        _learned.clear()
+        gc.collect()
+        give_back()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` with small batches, so that neither side holds much of a partition.
 
+    Spark hands its idle workers to whatever task comes next, so a worker first drops what it has
+    ``learned`` unless its task ``keeps`` that: else it would stay in memory beside all later steps.
     Spark reads the size when the job begins, after this returns, so it stays set for the session.
     """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         yield from run(batches)
         give_back()
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm.chunks import ChunkTokenizer, own, runs
-from cairn.llm.common import map_arrow
+from cairn.llm.common import learned, map_arrow
 
 #: A chunk that is one word and perhaps some punctuation: Latin letters only, so that it is known to
 #: be composed and one word to the tokenizer too.
@@ -89,14 +89,9 @@ class WordTokenizer(ChunkTokenizer):
             known[c] = known[body] + known[tail]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker, so that what it has learned serves the next task too."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """One per Python worker, so that what it has learned serves the next task of packing too."""
+    return learned(path, lambda: WordTokenizer(path))
 
 
 class Packer:
@@ -224,4 +219,4 @@ def pack(
             yield flush()
 
     schema = SCHEMA.format(kind=kind) + (", ids array<int>" if with_ids else "")
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema, keeps=True)

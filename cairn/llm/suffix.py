@@ -28,7 +28,7 @@ from cairn.llm.common import map_arrow, map_batches, materialize, release, setti
 ITEMS = 40_000
 MOST_ITEMS = 40_000
 #: Bytes of text scanned for anchors together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 ODD = 0x9E3779B97F4A7C15
 FULL = np.uint64(2**64 - 1)
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from cairn.llm import queries
+from cairn.llm import packing, queries
 
 
 def documents(spark, tmp_path):
@@ -123,3 +123,25 @@ def test_nulls_in_any_column_pass_every_stage(spark):
     assert corpus_pipeline.drop_repeats(spark, docs, "").count() == 6
     assert corpus_pipeline.redact_personal_data(spark, docs, "").count() == 6
     assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 6
+
+
+def test_workers_drop_what_packing_learned_once_they_do_other_work(spark):
+    import sys
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from cairn.llm.common import map_batches
+
+    def held(batch):
+        known = getattr(sys.modules.get("cairn.llm.packing"), "_tokenizers", {}).values()
+        kept = getattr(sys.modules["cairn.llm.common"], "_learned", {}).values()
+        n = sum(len(t.known) for t in [*known, *kept])
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(400)], "doc_id bigint, text string").repartition(4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    before = sorted(map(tuple, packing.pack(docs, path).select("id", "length", "ids_crc32").collect()))
+    tasks = spark.range(0, 64, 1, 16)
+    assert {r.n for r in map_batches(tasks, held, "n bigint").collect()} == {0}
+    assert sorted(map(tuple, packing.pack(docs, path).select("id", "length", "ids_crc32").collect())) == before
