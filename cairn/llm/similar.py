@@ -37,6 +37,10 @@ SKETCH = 8
 LARGE, WIDE = 300, 64
 #: Most rows that are sent to every executor rather than shuffled.
 SMALL = 1_000_000
+#: So many of a node's least open keys tell the first key that it shares with another.
+HEAD = 4
+#: Pairs for each entry up to which all are compared, and the share of them that one more round has to settle.
+LEFT, GAIN = 8, 0.2
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -180,7 +184,10 @@ def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction, distance
 
     First come the pairs that SimHash finds, then each node is held against the least node of each key
     of the prefix filter. What those join is one component, so then only pairs of different
-    components remain; a large group of near copies costs few pairs.
+    components remain. Where one key still has many of them, its nodes are held against one node of
+    its own again, another one each time, as long as that settles much of what is left: a large group
+    of near copies costs some pairs for each entry, whichever of them are least. All pairs that then
+    remain are compared.
     """
     flat = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
     sketches = materialize(own.select("node", "n", "wide", *flat).dropDuplicates(["node"]), "sketches")
@@ -204,22 +211,75 @@ def links(rows: DataFrame, own: DataFrame, words: int, least: Fraction, distance
     roots = connected_components(zero.unionByName(first))
     nodes = sketches.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     at = materialize(held.select("key", "node").join(nodes, "node"), "rooted")
-    for done in (held, roots):
-        release(done)
-    mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(at.join(mixed, "key", "left_semi").join(sketches.drop("wide"), "node"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near("x", "y", least))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = near_wide(rest, sketches, least)
-    second = verified(rows, own, rest, words, least)
-    both = materialize(zero.unionByName(first).unionByName(second), "links")
-    for done in (zero, first, second, joined, shared, sketches, at, open_):
+    release(held)
+    mixed, left = mixed_keys(at)
+    some = at.join(mixed, "key")
+    head = F.slice(F.array_sort(F.collect_list("key")), 1, HEAD).alias("head")
+    open_ = materialize(some.join(sketches.drop("wide"), "node").join(some.groupBy("node").agg(head), "node"), "open")
+    release(at)
+    found, most = [zero, first], LEFT * open_.count()
+    while left > most:
+        stars = near_wide(against_one(open_, len(found), least).distinct(), sketches, least)
+        more = verified(rows, own, stars, words, least)
+        found.append(more)
+        again = connected_components(roots.selectExpr("node AS a", "root AS b").unionByName(more))
+        at = open_.drop("root", "major").join(again, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        at = materialize(at, "rooted")
+        release(mixed)
+        before, (mixed, left) = left, mixed_keys(at)
+        now = materialize(at.join(mixed, "key"), "open")
+        for done in (at, open_, roots):
+            release(done)
+        open_, roots = now, again
+        if left > (1 - GAIN) * before:
+            break
+    rest = near_wide(across(open_, least).distinct(), sketches, least)
+    found.append(verified(rows, own, rest, words, least))
+    both = materialize(reduce(DataFrame.unionByName, found), "links")
+    for done in (*found, joined, shared, sketches, open_, mixed, roots):
         release(done)
     return both
 
 
+def mixed_keys(at: DataFrame) -> tuple[DataFrame, int]:
+    """``(key, major)`` of the keys with nodes of different components, ``major`` being the root that most
+    of them have, and how many pairs of different components these keys have."""
+    per = at.groupBy("key", "root").agg(F.count("node").alias("c"))
+    square = F.col("c") * F.col("c")
+    sums = [F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.sum(square).alias("same")]
+    mixed = per.groupBy("key").agg(*sums).where("c > top.c")
+    mixed = materialize(mixed.selectExpr("key", "top.root AS major", "(c * c - same) div 2 AS pairs"), "mixed")
+    left = mixed.agg(F.sum(F.col("pairs").cast("double"))).first()[0]
+    out = mixed.select("key", "major")
+    out._cairn_parts = (mixed,)
+    return out, left or 0
+
+
+def against_one(open_: DataFrame, turn: int, least: Fraction) -> DataFrame:
+    """Candidates ``(a, b)`` of different components: each key's nodes against one of them, another each turn."""
+    chance = F.xxhash64("key", "node", F.lit(turn))
+    one = F.min(F.struct(chance.alias("chance"), "node", "root", "n", *[f"s{i}" for i in range(SKETCH)])).alias("one")
+    x, y = open_.groupBy("key").agg(one).select("key", "one.*").alias("x"), open_.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y", least)
+    return x.join(y, met).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def across(open_: DataFrame, least: Fraction) -> DataFrame:
+    """Candidates ``(a, b)`` of different components, all that have a key in common.
+
+    One of such a pair at least is not of the component that most of the key's nodes have, so the
+    others need not be held against each other. A pair leaves the join at the first key that both
+    ``head`` name, or, if they name none, at each key that it has in common.
+    """
+    x, y = open_.where("root <> major").alias("x"), open_.alias("y")
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
+    apart = (F.col("x.root") != F.col("y.root")) & once
+    named = F.array_min(F.array_intersect("x.head", "y.head"))
+    met = (F.col("x.key") == F.col("y.key")) & apart & near("x", "y", least)
+    pairs = x.join(y, met & (F.coalesce(named, F.col("x.key")) == F.col("x.key")))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",

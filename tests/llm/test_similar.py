@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
+import xxhash
 from cairn.llm import similar
 
 
@@ -73,3 +74,50 @@ def test_common_shingles_change_the_order_only():
             assert len(np.intersect1d(p, q))
         differ = np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view(np.uint64)).sum()
         assert differ <= len(a) + len(b) - 2 * shared
+
+
+def join_rows(spark, run):
+    """What ``run`` returns, and the most rows that a join made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, done = 0, store.executionsList(int(before), 1 << 30)
+    for i in range(done.size()):
+        at = done.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_near_copies_whose_least_is_far_from_most(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    base, rows = words(140), []
+    for k in range(500):
+        c = list(base)
+        for _ in range(1 + k % 8):
+            c[rng.randrange(140)] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(c))
+    # the least node is a copy that is linked to few
+    node = lambda t: xxhash.xxh64_intdigest(similar.shingle_set(t.encode(), 5).tobytes(), similar.SEED) ^ 1 << 63
+    least = min(map(node, rows))
+    while True:
+        c = list(base)
+        for at in rng.sample(range(140), 6):
+            c[at] = f"y{rng.randrange(10**6)}"
+        if node(" ".join(c)) < least:
+            break
+    rows.append(" ".join(c))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    got, most = join_rows(spark, lambda: similar.near_duplicates(df).collect())
+    groups = {}
+    for r in got:
+        groups.setdefault(r.root, []).append(r.id)
+    want, linked = brute(rows)
+    assert linked > 5_000 and len(set(want)) > 10
+    assert {i: min(g) for g in groups.values() for i in g} == dict(enumerate(want))
+    assert most < 40 * len(rows), most
